@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, which parts words in most contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -59,12 +60,11 @@ def word_count(text: Column, word: str = WORD) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0)).cast("long")
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most ``step`` rows, so that Python objects of few texts live at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, step):
-            yield b.slice(k, step)
+#: Rows in a batch between Spark and Python. Whole texts can be long, and the JVM, its Arrow buffers and Python each hold a batch.
+BATCH_ROWS = 512
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of at most BATCH_ROWS rows (a session setting, made here)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)

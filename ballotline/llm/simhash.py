@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Table, text_batches
+from .common import BATCH_ROWS, Table, map_arrow
 from .components import components
 
 RADIUS = 3
@@ -61,7 +62,7 @@ def fingerprint(text: str | None, n: int = 3) -> int:
 
 
 def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_batches(batches):
+    for b in batches:
         k = b.schema.get_field_index("__text")
         fp = np.array([fingerprint(t) for t in b.column(k).to_pylist()], np.uint64).view(np.int64)
         rest = [j for j in range(b.num_columns) if j != k]
@@ -70,21 +71,15 @@ def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row and its fingerprint ``__fp`` (LONG, the 64 bits as they are)."""
-    from pyspark.sql import types as T
-
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
     schema = T.StructType([f for f in narrow.schema.fields if f.name != "__text"] + [T.StructField("__fp", T.LongType())])
-    return narrow.mapInArrow(_add_fingerprints, schema)
+    return map_arrow(narrow, _add_fingerprints, schema)
 
 
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _lits(values: list[int]) -> Column:
-    return F.array(*[F.lit(_long(v)).cast("long") for v in values])
-
-
 def _sql_longs(values: list[int]) -> str:
     return "array(" + ",".join(f"{_long(v)}L" if _long(v) != -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")"
 
@@ -98,8 +93,20 @@ def punctured_keys(fp: str = "fp") -> Column:
             flips.append(flip)
             keeps.append(~out & ((1 << 64) - 1))
             tags.append(k << lo)
-    zipped = f"arrays_zip({_sql_longs(flips)} as f, {_sql_longs(keeps)} as k, {_sql_longs(tags)} as t)"
-    return F.expr(f"transform({zipped.replace(' as f', '').replace(' as k', '').replace(' as t', '')}, s -> (({fp} ^ s['0']) & s['1']) | s['2'])")
+    zipped = f"arrays_zip({_sql_longs(flips)}, {_sql_longs(keeps)}, {_sql_longs(tags)})"
+    return F.expr(f"transform({zipped}, s -> (({fp} ^ s['0']) & s['1']) | s['2'])")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, fp) of small batches in arrays of ``least`` rows or a little more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if len(held) * BATCH_ROWS >= least:
+            yield np.concatenate([x.column(0).to_numpy() for x in held]), np.concatenate([x.column(1).to_numpy() for x in held]).view(np.uint64)
+            held = []
+    if held:
+        yield np.concatenate([x.column(0).to_numpy() for x in held]), np.concatenate([x.column(1).to_numpy() for x in held]).view(np.uint64)
 
 
 def _pairs(dense: int):
@@ -117,9 +124,9 @@ def _pairs(dense: int):
             return x
 
         key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for b in batches:
-            key = np.concatenate([key, b.column(0).to_numpy()])
-            fp = np.concatenate([fp, b.column(1).to_numpy().view(np.uint64)])
+        for keys, fps in _gathered(batches):
+            key = np.concatenate([key, keys])
+            fp = np.concatenate([fp, fps])
             left, right, crowd = [], [], []
             for shift in range(1, dense + 1):
                 same = np.flatnonzero(key[shift:] == key[:-shift]) if len(key) > shift else np.empty(0, int)
@@ -157,20 +164,16 @@ def _dense_links(dense: DataFrame) -> DataFrame:
     ones = [1 << j for j in range(64)]
     twos = [(1 << i) | (1 << j) for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
     even = F.expr("bit_count(fp) % 2 = 0")
-    flips = F.when(even, _expr(f"{_sql_longs([0, *ones])}")).otherwise(_expr(f"{_sql_longs([0, *ones, *twos])}"))
+    flips = F.when(even, F.expr(_sql_longs([0, *ones]))).otherwise(F.expr(_sql_longs([0, *ones, *twos])))
     met = dense.select("fp", even.alias("even"), F.explode(flips).alias("flip")).select("fp", "even", F.expr("fp ^ flip").alias("v"))
     hub = F.expr("min(CASE WHEN even OR bit_count(v) % 2 = 0 THEN fp END) OVER (PARTITION BY v)")
     return met.select("fp", hub.alias("hub")).where("hub IS NOT NULL AND hub <> fp").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
-def _expr(sql: str) -> Column:
-    return F.expr(sql)
-
-
 def links(distinct_fp: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links (a, b) of distinct fingerprints (fp) whose components are those of all pairs within 3 bits."""
     emitted = distinct_fp.select(F.explode(punctured_keys("fp")).alias("key"), "fp")
-    found = Table(emitted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairs(dense), "a long, b long"), "links")
+    found = Table(map_arrow(emitted.repartition("key").sortWithinPartitions("key", "fp"), _pairs(dense), "a long, b long"), "links")
     crowd = found.df.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     out = found.df.where("b IS NOT NULL")
     return out if crowd.isEmpty() else out.union(_dense_links(crowd))
