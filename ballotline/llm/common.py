@@ -55,6 +55,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(rows: DataFrame, most: int) -> Callable[[DataFrame], DataFrame]:
+    """How to join with tables of a row for each of ``rows``: broadcast if there are at most ``most``, else merged.
+
+    The count decides, not the size of files, since small files may hold many rows.
+    """
+    return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df.hint("merge")
+
+
 def word_count(text: Column, word: str = WORD) -> Column:
     """Number of words of a text as LONG; null text: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0)).cast("long")

@@ -21,11 +21,12 @@ integers, so results don't depend on partitions. DataFrame operations only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, bounded
 
 GRID = 32
 #: Share of the rows that an estimate covers.
@@ -39,6 +40,8 @@ CUT = 42.7
 FLOORS = (0.12, 0.5, 0.9, 0.9)
 DIMS = ("word_len", "symbols", "dup_lines", "repeats")
 _P = len(DIMS)
+#: Most groups whose estimates are broadcast (about 200 bytes each); more are joined by a shuffle.
+GROUPS = 20_000
 
 
 
@@ -132,7 +135,7 @@ def _centre(m: DataFrame, scale: float) -> DataFrame:
     return _solve(m)
 
 
-def _medians(cells: DataFrame) -> DataFrame:
+def _medians(cells: DataFrame, near: Callable) -> DataFrame:
     """(grp, m0.., d0..): weighted medians and median absolute deviations of each statistic."""
 
     def median(rows: DataFrame) -> DataFrame:
@@ -143,14 +146,15 @@ def _medians(cells: DataFrame) -> DataFrame:
 
     long = cells.select("grp", "n", F.posexplode(F.array(*[f"q{k}" for k in range(_P)])).alias("dim", "v"))
     mid = median(long)
-    off = median(long.join(mid, ["grp", "dim"]).select("grp", "dim", "n", F.abs(F.col("v") - F.col("mid")).alias("v"))).withColumnRenamed("mid", "off")
+    off = median(long.join(near(mid), ["grp", "dim"]).select("grp", "dim", "n", F.abs(F.col("v") - F.col("mid")).alias("v"))).withColumnRenamed("mid", "off")
     pick = lambda c, k: F.max(F.when(F.col("dim") == k, F.col(c))).cast("double")
     return mid.join(off, ["grp", "dim"]).groupBy("grp").agg(*[pick("mid", k).alias(f"m{k}") for k in range(_P)], *[pick("off", k).alias(f"d{k}") for k in range(_P)])
 
 
 def estimates(cells: DataFrame) -> DataFrame:
     """(grp, m0.., l00.., logdet): the minimum-covariance-determinant estimate of each group of (grp, q0.., n)."""
-    mid = _medians(cells)
+    near = bounded(cells.select("grp").distinct(), GROUPS)
+    mid = _medians(cells, near)
     for j in range(_P):
         for i in range(j, _P):
             mid = mid.withColumn(f"s{j}{i}", (1.4826 * F.col(f"d{j}")) ** 2 if i == j else F.lit(0.0))
@@ -160,11 +164,11 @@ def estimates(cells: DataFrame) -> DataFrame:
     scale = chi_scale()
     for _ in range(STEPS):
         ring = F.floor(16 * F.log2(distance() + 2.0**-10)).cast("long")
-        by = _moments(cells.join(now, "grp").withColumn("ring", ring), ["grp", "start", "ring"])
+        by = _moments(cells.join(near(now), "grp").withColumn("ring", ring), ["grp", "start", "ring"])
         w = Window.partitionBy("grp", "start")
         by = by.withColumn("before", F.sum("n").over(w.orderBy("ring")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-        near = by.where(F.col("before") < COVER * F.col("all"))
-        sums = near.groupBy("grp", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in by.columns if c[0] in "ab" and c[1:].isdigit()))
+        nearest = by.where(F.col("before") < COVER * F.col("all"))
+        sums = nearest.groupBy("grp", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in by.columns if c[0] in "ab" and c[1:].isdigit()))
         now = Table(_centre(sums, scale).select("grp", "start", *_PARAMS, "logdet"), "mcd").df
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start", *_PARAMS)).alias("b"))
     return best.select("grp", *[F.col(f"b.{c}").alias(c) for c in _PARAMS])
@@ -189,13 +193,14 @@ def verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     grp = {2: level(2, F.col("lang"), F.col("src")), 1: level(1, F.col("lang"), nobody), 0: level(0, nobody, nobody)}
     cells = cells.select(F.explode(F.array(*grp.values())).alias("grp"), *q, "n").groupBy("grp", *q).agg(F.sum("n").alias("n"))
     cells = Table(cells, "cells").df
-    big = cells.groupBy("grp").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).select("grp")
-    cells = Table(cells.join(big, "grp", "left_semi"), "cells").df
+    big = Table(cells.groupBy("grp").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).select("grp"), "groups").df
+    cells = Table(cells.join(bounded(big, GROUPS)(big), "grp", "left_semi"), "cells").df
     found = Table(estimates(cells), "estimates").df
     # the estimate of each (lang, source) that occurs: its own, else its lang's, else that of all
     pairs = seen.groupBy("lang", "src").agg(F.count("*").alias("rows"))
     wide = pairs.select("lang", "src", F.explode(F.array(*grp.values())).alias("grp")).join(found, "grp")
     chosen = wide.groupBy("lang", "src").agg(F.max(F.struct(F.col("grp.level").alias("level"), *_PARAMS)).alias("b")).select("lang", "src", *[F.col(f"b.{c}").alias(c) for c in _PARAMS])
-    out = seen.join(chosen, ["lang", "src"], "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    chosen = Table(chosen, "chosen").df
+    out = seen.join(bounded(chosen, GROUPS)(chosen), ["lang", "src"], "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
