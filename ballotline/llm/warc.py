@@ -137,12 +137,12 @@ def _rename(root: str):
     return run
 
 
-def _shards(held: DataFrame, shard_bytes: int) -> Column:
-    """The shard of ``page_id``: ranges at quantiles of a sample chosen by the ids' hashes, of bounded size."""
+def _shards(held: DataFrame, shard_bytes: int) -> tuple[int, Column]:
+    """How many shards, and that of ``page_id``: ranges at quantiles of a sample chosen by the ids' hashes, of bounded size."""
     n, total = held.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     shards = max(1, -(-total // shard_bytes))
     if shards == 1:
-        return F.lit(0).cast("long")
+        return 1, F.lit(0).cast("long")
     every = max(1, n // (shards * _SAMPLE))
     # cut points at the driver: one number for each shard, of a sample of about _SAMPLE times as many
     picked = held.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)).groupBy("page_id").agg(F.sum("bytes").alias("b"))
@@ -154,7 +154,7 @@ def _shards(held: DataFrame, shard_bytes: int) -> Column:
         upto += b
     cut = F.array(*[F.lit(p).cast("long") for p in points]) if points else None
     # nulls come first, in shard 0
-    return F.lit(0).cast("long") if cut is None else F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col("page_id"))), F.lit(0)).cast("long")
+    return shards, F.lit(0).cast("long") if cut is None else F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col("page_id"))), F.lit(0)).cast("long")
 
 
 def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -167,13 +167,13 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(html)).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
-    shard = _shards(held.select("page_id", "bytes"), shard_bytes)
+    n_shards, shard = _shards(held.select("page_id", "bytes"), shard_bytes)
     same = Table(held.groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("sha1", "refers_to"), "payloads")
     rows = held.drop("bytes").join(same.df.withColumn("dup", F.lit(True)), "sha1", "left")
     rows = rows.select(shard.alias("shard"), "page_id", "sha1", "url", "html", F.coalesce("dup", F.lit(False)).alias("dup"), "refers_to")
     fs, base = _open(root)
     fs.create_dir(f"{base}/_temp", recursive=True)
-    rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
+    rows = rows.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
     done = Table(map_arrow(rows, _writer(root, roll_bytes), _MANIFEST_SQL), "warc-manifest")
     map_arrow(done.df.repartition("name"), _rename(root), _MANIFEST_SQL).write.format("noop").mode("overwrite").save()
     fs.delete_dir(f"{base}/_temp")
