@@ -36,51 +36,67 @@ BLOCK_WINDOWS = 200_000
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|e\d+)?", re.I)
 _NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 _UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces s sec secs second seconds minute minutes hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons mph kmh km/h m/s kg/m3 percent degree degrees celsius fahrenheit dollar dollars cent cents euro euros usd eur gbp volt volts watt watts kw kwh hz khz mhz ghz joule joules newton newtons pascal pa kpa mol".split())
-_SLOT = 1 << 62
 _CACHE = 1 << 19
 _BITS = 16
 
 
+_OUTER = "\"'`´’‘“”„«»()[]{}<>.,;:!?¡¿…*#&|~^_=\\/-—–"
+_LINE = "\0"
+
+
 class _Forms(dict):
-    """Raw words to (hash inside a sentence, hash at its start, ends one, is a placeholder inside, is one at the start, is a word)."""
-
-    def __missing__(self, raw: str) -> tuple:
-        if len(self) >= _CACHE:
-            self.clear()
-        word = raw.strip("\"'`´’‘“”„«»()[]{}<>.,;:!?¡¿…*#&|~^_=\\/-—–")
-        ends = raw.rstrip("\"'’”»)]*#&%$|_~")[-1:] in (".", "!", "?", ":", "\n") if raw != "\n" else True
-        kinds = []
-        for start in (False, True):
-            low = word.lower()
-            if not word or not any(c.isalnum() for c in word):
-                kinds.append(None)
-            elif _NUMBER.fullmatch(word) or low in _NUMBER_WORDS:
-                kinds.append("<number>")
+    """Raw words to numbers, by which ``mid`` and ``start`` give their hashes inside a sentence and at its start and ``flags`` what they are."""
+
+    ENDS, SLOT_MID, SLOT_START, WORD = 1, 2, 4, 8
+
+    def __init__(self) -> None:
+        self._sized(_CACHE)
+
+    def _sized(self, n: int) -> None:
+        self.clear()
+        self.mid, self.start, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+
+    def numbers(self, raw: list[str]) -> np.ndarray:
+        """Forgets all words first if those of a text could be too many for what is held."""
+        if len(self) + len(raw) > len(self.mid):
+            self._sized(max(_CACHE, len(raw)))
+        return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+
+    def __missing__(self, raw: str) -> int:
+        k = self[raw] = len(self)
+        flags = self.ENDS if raw == _LINE or raw.rstrip("\"'’”»)]*#&%$|_~")[-1:] in (".", "!", "?", ":") else 0
+        word = raw.strip(_OUTER)
+        low = word.lower()
+        if word and (low.isalpha() or any(c.isalnum() for c in word)):
+            flags |= self.WORD
+            if low in _NUMBER_WORDS or (not low.isalpha() and _NUMBER.fullmatch(word)):
+                mid = start = "<number>"
             elif low in _UNITS:
-                kinds.append("<unit>")
-            elif not start and word[0].isupper() and word[1:] and word[1:] == word[1:].lower():
-                kinds.append("<name>")
+                mid = start = "<unit>"
             else:
-                kinds.append(low)
-        mid, start = kinds
-        digest = lambda k: 0 if k is None else xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) >> 1
-        slot = lambda k: k is not None and k[0] == "<"
-        found = self[raw] = (digest(mid), digest(start), int(ends), int(slot(mid)), int(slot(start)), int(mid is not None))
-        return found
+                mid = "<name>" if word[0].isupper() and word[1:] and word[1:] == low[1:] else low
+                start = low
+            self.mid[k] = self.start[k] = xxhash.xxh64_intdigest(start.encode("utf-8", "surrogatepass"))
+            if mid is not start:
+                self.mid[k] = xxhash.xxh64_intdigest(mid.encode("utf-8", "surrogatepass"))
+            flags |= self.SLOT_MID * (mid[0] == "<") | self.SLOT_START * (start[0] == "<")
+        self.flags[k] = flags
+        return k
 
 
-def template(text: str | None, forms: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+def template(text: str | None, forms: _Forms) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words as they are, their template hashes, which are placeholders). Null and wordless texts: none."""
-    raw = (text or "").replace("\n", " \n ").split(" ")
-    raw = [w for part in raw for w in ((part,) if part == "\n" else part.split())]
+    raw = (text or "").replace("\n", f" {_LINE} ").split()
     if not raw:
         return [], np.empty(0, np.uint64), np.empty(0, bool)
-    a = np.array([forms[w] for w in raw], np.int64)
+    k = forms.numbers(raw)
+    flags = forms.flags[k]
     start = np.empty(len(raw), bool)
-    start[0], start[1:] = True, a[:-1, 2] == 1
-    h, slot = np.where(start, a[:, 1], a[:, 0]).astype(np.uint64), np.where(start, a[:, 4], a[:, 3]) == 1
-    word = np.flatnonzero(a[:, 5])
-    return [raw[k] for k in word] if len(word) < len(raw) else raw, h[word], slot[word]
+    start[0], start[1:] = True, (flags[:-1] & forms.ENDS) != 0
+    h = np.where(start, forms.start[k], forms.mid[k])
+    slot = np.where(start, flags & forms.SLOT_START, flags & forms.SLOT_MID) != 0
+    word = np.flatnonzero(flags & forms.WORD)
+    return [raw[j] for j in word.tolist()] if len(word) < len(raw) else raw, h[word], slot[word]
 
 
 def windows(h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +113,7 @@ def windows(h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _value(raw: str) -> str:
-    return raw.strip("\"'`´’‘“”„«»()[]{}<>.,;:!?¡¿…*#&|~^_=\\/-—–").lower()
+    return raw.strip(_OUTER).lower()
 
 
 class Items:
@@ -122,7 +138,7 @@ class Items:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def held_by(self, text: str | None, forms: dict) -> list[tuple[int, float, float, int]]:
+    def held_by(self, text: str | None, forms: _Forms) -> list[tuple[int, float, float, int]]:
         """(item, share of its windows, slot consistency, first word) of every item that a text holds in part."""
         words, h, slot = template(text, forms)
         w, counts = windows(h, slot)
