@@ -33,6 +33,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Matches joined to a list at a time, so that very many in one text aren't copied again for each.
+_BLOCK = 256
+
+
+def spans_sql(text: str, pattern: str) -> str:
+    """SQL for ARRAY<STRUCT<s INT, e INT>>: where a regex matches a text, in code points from 0, in order. Both are SQL expressions."""
+    inner = """aggregate(blk, named_struct('at', acc.at, 'out', cast(array() AS array<struct<s:int,e:int>>)),
+        (a, x) -> named_struct('at', a.at + x.g + x.m, 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + x.m)))))"""
+    joined = f"""flatten(aggregate(
+        transform(sequence(0, (size(z) - 1) div {_BLOCK}), b -> slice(z, b * {_BLOCK} + 1, {_BLOCK})),
+        named_struct('at', 0, 'out', cast(array() AS array<array<struct<s:int,e:int>>>)),
+        (acc, blk) -> element_at(transform(array({inner}), y -> named_struct('at', y.at, 'out', concat(acc.out, array(y.out)))), 1),
+        acc -> acc.out))"""
+    lengths = f"zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (g, m) -> named_struct('g', coalesce(length(g), 0), 'm', coalesce(length(m), 0)))"
+    # split gives one piece more than there are matches; the last pair is no match
+    return f"""element_at(transform(array({lengths}), l ->
+        CASE WHEN size(l) < 2 THEN cast(array() AS array<struct<s:int,e:int>>) ELSE element_at(transform(array(slice(l, 1, size(l) - 1)), z -> {joined}), 1) END), 1)"""
+
+
+def quoted(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder and read again.
 

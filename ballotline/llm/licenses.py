@@ -13,43 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, spans_sql
 from .license_rules import ANCHORS, KINDS, rules
 
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Finds joined to a list at a time, so that very many finds in one text aren't copied again for each.
-_BLOCK = 256
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _rule_table() -> str:
-    rows = [f"named_struct('kw', {_quoted(r['keyword'])}, 're', {_quoted('(?<= )(?:' + r['pattern'] + ')(?= )')}, 'p', {r['priority']}, 'r', {k})" for k, r in enumerate(rules())]
+    rows = [f"named_struct('kw', {quoted(r['keyword'])}, 're', {quoted('(?<= )(?:' + r['pattern'] + ')(?= )')}, 'p', {r['priority']}, 'r', {k})" for k, r in enumerate(rules())]
     return f"array({', '.join(rows)})"
 
 
 def _finds() -> str:
     """SQL: ARRAY of (s, ne, np, r) of every rule's matches in ``__norm``: start, minus end, minus priority, rule."""
-    inner = f"""aggregate(blk, named_struct('at', acc.at, 'out', cast(array() AS array<struct<s:int,e:int>>)),
-        (a, x) -> named_struct('at', a.at + x.g + x.m, 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + x.m)))))"""
-    spans = f"""flatten(aggregate(
-        transform(sequence(0, (size(z) - 1) div {_BLOCK}), b -> slice(z, b * {_BLOCK} + 1, {_BLOCK})),
-        named_struct('at', 0, 'out', cast(array() AS array<array<struct<s:int,e:int>>>)),
-        (acc, blk) -> element_at(transform(array({inner}), y -> named_struct('at', y.at, 'out', concat(acc.out, array(y.out)))), 1),
-        acc -> acc.out))"""
-    lengths = "zip_with(split(__norm, q.re, -1), regexp_extract_all(__norm, q.re, 0), (g, m) -> named_struct('g', coalesce(length(g), 0), 'm', coalesce(length(m), 0)))"
-    # split gives one piece more than there are matches; the last pair is no match
-    one = f"""element_at(transform(array({lengths}), l -> transform(
-        CASE WHEN size(l) < 2 THEN array() ELSE element_at(transform(array(slice(l, 1, size(l) - 1)), z -> {spans}), 1) END,
-        x -> named_struct('s', x.s, 'ne', -x.e, 'np', -q.p, 'r', q.r))), 1)"""
+    one = f"transform({spans_sql('__norm', 'q.re')}, x -> named_struct('s', x.s, 'ne', -x.e, 'np', -q.p, 'r', q.r))"
     return f"sort_array(flatten(transform(filter({_rule_table()}, q -> contains(__norm, q.kw)), q -> {one})))"
 
 
 def _sweep() -> str:
     table = rules()
-    labels = "array(" + ", ".join(_quoted(r["label"]) for r in table) + ")"
+    labels = "array(" + ", ".join(quoted(r["label"]) for r in table) + ")"
     n_base = sum(r["base"] for r in table)
     sure = "array(" + ", ".join(f"{v}D" for v in KINDS.values()) + ")"
     base = f"d.r < {n_base}"
