@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,13 +16,16 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="ballotline-tests-")
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{shared}").config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(shared, ignore_errors=True)
