@@ -5,33 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import parse_digits
-
-
-def _parts(s: Column) -> tuple[Column, ...]:
-    """(year, month, day, hour, minute); separators, seconds and zone are not looked at."""
-    return tuple(parse_digits(F.substring(s, at, n)) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
-
-
-def _valid(s: Column, parts: tuple[Column, ...]) -> Column:
-    _, month, day, hour, minute = parts
-    ok = F.octet_length(s) >= 19
-    for p, lo, hi in ((parts[0], 0, 9999), (month, 1, 12), (day, 1, 31), (hour, 0, 23), (minute, 0, 59)):
-        ok = ok & F.coalesce(p.between(lo, hi), F.lit(False))
-    return ok
-
-
-def _date(parts: tuple[Column, ...], ok: Column) -> Column:
-    """Days of a month that lack roll over: February 31 is March 3."""
-    year, month, day = (F.when(ok, p).otherwise(1).cast("int") for p in parts[:3])
-    return F.date_add(F.make_date(year, month, F.lit(1)), day - 1)
+#: A date and time of the day at the start of a text; what stands between the digits is not looked at.
+_MOMENT = r"(?s)\A[0-9]{4}.(?:0[1-9]|1[0-2]).(?:0[1-9]|[12][0-9]|3[01]).(?:[01][0-9]|2[0-3]).[0-5][0-9]"
 
 
 def iso_minutes(s: Column) -> Column:
-    """Minutes since 1970 of a text of at least 19 characters, null if it isn't a time."""
-    parts = _parts(s)
-    ok = _valid(s, parts)
-    return F.when(ok, F.unix_date(_date(parts, ok)).cast("long") * 1440 + parts[3] * 60 + parts[4])
+    """Minutes since 1970 of a text of at least 19 characters, null if it isn't a time.
+
+    Separators, seconds and zone don't count. Days that a month lacks roll over: February 31 is March 3.
+    """
+    year, month, day, hour, minute = (F.substring(s, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
+    days = F.unix_date(F.date_add(F.make_date(year, month, F.lit(1)), day - 1)).cast("long")
+    return F.when(s.rlike(_MOMENT) & (F.octet_length(s) >= 19), days * 1440 + hour * 60 + minute)
 
 
 def hour_of(minutes: Column) -> Column:

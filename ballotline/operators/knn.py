@@ -16,7 +16,7 @@ references in the first leaf leave the search unbounded, which is slow but right
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DIMS, EARLY_STOP, NEIGHBOURS, VECTOR
@@ -25,6 +25,7 @@ from .partitions import BROADCAST_ROWS, boxes
 from .tables import Written, sized
 
 _FAR = 1 << 62
+BUCKETS = 64
 #: Levels of splits that a step of a search goes down: 16 boxes below each.
 FAN = 4
 _BOX = [f"{side}{i}" for side in ("lo", "hi") for i in range(DIMS)]
@@ -41,10 +42,19 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def brute(queries: DataFrame, refs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(qid, rank, ref_id, label, d2), all pairs compared. A check for small data; ``pruned`` gives the same."""
-    q = queries.select("qid", *VECTOR)
-    pairs = _renamed(refs).crossJoin(sized(q, BROADCAST_ROWS)).select("qid", "ref_id", "label", squared_distance().alias("d2"))
-    return _nearest(pairs, k).select("qid", "rank", "ref_id", "label", "d2")
+    """(qid, rank, ref_id, label, d2), all pairs compared. A check for small data; ``pruned`` gives the same.
+
+    Pairs are never sorted: the references are dealt out to ``BUCKETS`` buckets, and a query's k-th smallest minimum of
+    a bucket bounds its k-th distance. A second pass keeps the few pairs within the bound.
+    """
+    q, r = queries.select("qid", *VECTOR), _renamed(refs)
+    pairs = r.crossJoin(sized(q, BROADCAST_ROWS))
+    least = pairs.groupBy("qid", F.pmod(F.xxhash64("ref_id"), F.lit(BUCKETS)).alias("bucket")).agg(F.min(squared_distance()).alias("least"))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("least")))
+    kth = ranked.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("least"))).alias("kth"))
+    bounded = Written(q.join(kth, "qid").withColumn("bound", F.coalesce("kth", F.lit(_FAR))), "bounds").df
+    near = r.crossJoin(sized(bounded, BROADCAST_ROWS)).select("qid", "ref_id", "label", squared_distance().alias("d2"), "bound").where("d2 <= bound")
+    return _nearest(near, k).select("qid", "rank", "ref_id", "label", "d2")
 
 
 class Index:
@@ -61,7 +71,7 @@ class Index:
         for t in range(1, max(1, -(-deepest // FAN)) + 1):
             rows = self._corners("leaf_id").withColumn("up", node(t - 1)).withColumn("down", node(t))
             box = boxes(rows, "part_key", "up", "down").drop("n").withColumnRenamed("part_key", "target")
-            self.steps.append(Written(box, "node-boxes").df)
+            self.steps.append(sized(Written(box, "node-boxes").df, BROADCAST_ROWS))
 
     def _corners(self, *keep: str) -> DataFrame:
         """Both corners of every leaf's box: the boxes of these are those of nodes and partitions, without reading references again."""
@@ -79,16 +89,19 @@ def _first_leaf(queries: DataFrame, index: Index) -> DataFrame:
     mine = (F.col("target") != F.col("part_key")).alias("other")
     at = near.groupBy("qid").agg(F.min(F.struct(mine, "lb", "target")).alias("best")).select("qid", F.col("best.target").alias("target"), F.lit(1).cast("long").alias("up"))
     for step in index.steps:
-        met = queries.drop("part_key").join(at, "qid").join(sized(step, BROADCAST_ROWS), ["target", "up"]).select("qid", "target", "down", lower_bound().alias("lb"))
+        met = queries.drop("part_key").join(at, "qid").join(step, ["target", "up"]).select("qid", "target", "down", lower_bound().alias("lb"))
         at = met.groupBy("qid").agg(F.min(F.struct("lb", "target", "down")).alias("best")).select("qid", F.col("best.target").alias("target"), F.col("best.down").alias("up"))
     return at.select("qid", F.col("target").alias("part_key"), F.col("up").alias("leaf_id"))
 
 
-def _scan(wanted: DataFrame, queries: DataFrame, refs: DataFrame, bound: Column | None = None) -> DataFrame:
-    """(qid, ref_id, label, d2) of the references in the wanted leaves (qid, part_key, leaf_id[, bound])."""
-    q = wanted.join(queries.drop("part_key"), "qid")
-    pairs = q.join(_renamed(refs, "part_key", "leaf_id"), ["part_key", "leaf_id"]).select("qid", "ref_id", "label", squared_distance().alias("d2"), *(["bound"] if bound is not None else []))
-    return pairs if bound is None else pairs.where(F.col("d2") <= F.col("bound")).drop("bound")
+def _scan(wanted: DataFrame, refs: DataFrame) -> DataFrame:
+    """(qid, ref_id, label, d2) of the references in the leaves of (qid, part_key, leaf_id, v0.., bound), as near as the bound.
+
+    References are read where they lie while the leaves wanted are few enough to be broadcast (counted); else both sides meet by leaf.
+    """
+    held = Written(wanted, "wanted").df
+    pairs = _renamed(refs, "part_key", "leaf_id").join(sized(held, BROADCAST_ROWS), ["part_key", "leaf_id"])
+    return pairs.select("qid", "ref_id", "label", squared_distance().alias("d2"), "bound").where("d2 <= bound").drop("bound")
 
 
 def pruned(queries: DataFrame, index: Index, k: int = NEIGHBOURS, early_stop: bool = False) -> DataFrame:
@@ -99,7 +112,8 @@ def pruned(queries: DataFrame, index: Index, k: int = NEIGHBOURS, early_stop: bo
     """
     q = queries.select("qid", "part_key", *VECTOR)
     first = Written(_first_leaf(q, index), "first-leaf").df
-    found = Written(_nearest(_scan(first, q, index.refs), k), "first-found").df
+    start = first.join(q.drop("part_key"), "qid").withColumn("bound", F.lit(_FAR))
+    found = Written(_nearest(_scan(start, index.refs), k), "first-found").df
     kth = found.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("d2"))).alias("kth"))
     open_ = q.join(first.select("qid", F.col("part_key").alias("seen_part"), F.col("leaf_id").alias("seen_leaf")), "qid").join(kth, "qid", "left").withColumn("bound", F.coalesce("kth", F.lit(_FAR)))
     if early_stop:
@@ -107,9 +121,8 @@ def pruned(queries: DataFrame, index: Index, k: int = NEIGHBOURS, early_stop: bo
     keep = ["qid", *VECTOR, "bound", "seen_part", "seen_leaf"]
     near = open_.join(F.broadcast(index.partitions()), lower_bound() <= F.col("bound")).select(*keep, "target", F.lit(1).cast("long").alias("up"))
     for step in index.steps:
-        near = near.join(sized(step, BROADCAST_ROWS), ["target", "up"]).where(lower_bound() <= F.col("bound")).select(*keep, "target", F.col("down").alias("up"))
+        near = near.join(step, ["target", "up"]).where(lower_bound() <= F.col("bound")).select(*keep, "target", F.col("down").alias("up"))
     near = near.where((F.col("target") != F.col("seen_part")) | (F.col("up") != F.col("seen_leaf")))
-    wanted = near.select("qid", F.col("target").alias("part_key"), F.col("up").alias("leaf_id"), "bound")
-    more = _scan(wanted, q, index.refs, F.col("bound"))
+    more = _scan(near.select("qid", *VECTOR, "bound", F.col("target").alias("part_key"), F.col("up").alias("leaf_id")), index.refs)
     both = found.select("qid", "ref_id", "label", "d2").union(more)
     return _nearest(both, k).select("qid", "rank", "ref_id", "label", "d2")

@@ -27,8 +27,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and references, computed once and written."""
-    rows = Written(_vectors(spark, sf_dir), "event-vectors").df
+    """Queries and references, computed once and written. Adaptive execution would leave small tables in one file, and so one task."""
+    rows = Written(_vectors(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id"), "event-vectors").df
     return b.split(rows)
 
 

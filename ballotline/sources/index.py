@@ -16,7 +16,7 @@ FORMAT = "ballotline-index-1"
 def build_index(refs: DataFrame, leaf_size: int = LEAF_SIZE) -> Index:
     """An index of (ref_id, v0.., label) rows, not written."""
     held = refs.select("ref_id", *VECTOR, "label").withColumn("part_key", partition_key())
-    return Index(with_leaves(held, leaf_size))
+    return Index(*with_leaves(held, leaf_size))
 
 
 def write_index(index: Index, mcc_risk: DataFrame, path: str) -> None:

@@ -93,12 +93,19 @@ def test_risks_share_slots(spark):
 def test_leaves_split_everything(spark):
     same = spark.range(700).select(F.col("id").alias("ref_id"), *[F.lit(3).alias(v) for v in VECTOR], F.lit(0).alias("label"), F.lit(9).alias("part_key"))
     other = spark.range(700, 1500).select(F.col("id").alias("ref_id"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(4)).cast("int").alias(v) for i, v in enumerate(VECTOR)], F.lit(0).alias("label"), F.lit(2).alias("part_key"))
-    n = partitions.boxes(partitions.with_leaves(same.union(other), 64), "part_key", "leaf_id").collect()
+    n = partitions.with_leaves(same.union(other), 64)[1].collect()
     assert sum(r.n for r in n) == 1500 and max(r.n for r in n) <= 64
 
 
 @pytest.mark.parametrize("size", [1, 5000])
 def test_leaf_sizes_are_limited(spark, size):
     rows = spark.range(3000).select(F.col("id").alias("ref_id"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)).cast("int").alias(v) for i, v in enumerate(VECTOR)], F.lit(0).alias("label"), F.lit(1).alias("part_key"))
-    n = [r.n for r in partitions.boxes(partitions.with_leaves(rows, size), "part_key", "leaf_id").collect()]
+    n = [r.n for r in partitions.with_leaves(rows, size)[1].collect()]
     assert max(n) <= (32 if size == 1 else 2048)
+
+
+def test_leaves_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "SAMPLE_ROWS", 400)
+    rows = spark.range(6000).select(F.col("id").alias("ref_id"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("int").alias(v) for i, v in enumerate(VECTOR)], F.lit(0).alias("label"), F.pmod(F.col("id"), F.lit(3)).cast("int").alias("part_key"))
+    at, held = partitions.with_leaves(rows, 64)
+    assert sum(r.n for r in held.collect()) == 6000 == at.select("ref_id").distinct().count() and max(r.n for r in held.collect()) <= 64
