@@ -173,7 +173,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     rows = rows.select(shard.alias("shard"), "page_id", "sha1", "url", "html", F.coalesce("dup", F.lit(False)).alias("dup"), "refers_to")
     fs, base = _open(root)
     fs.create_dir(f"{base}/_temp", recursive=True)
-    rows = rows.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
+    rows = rows.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
     done = Table(map_arrow(rows, _writer(root, roll_bytes), _MANIFEST_SQL), "warc-manifest")
     map_arrow(done.df.repartition("name"), _rename(root), _MANIFEST_SQL).write.format("noop").mode("overwrite").save()
     fs.delete_dir(f"{base}/_temp")
