@@ -29,7 +29,10 @@ from .common import Table, map_arrow
 BITS = 20
 #: Most labelled rows that a model is trained on.
 TRAIN_ROWS = 8000
-ALPHA, BETA, L1, L2 = 5.0, 1.0, 2.0, 0.1
+#: Chosen on rows that aren't held out: trained on those whose remainder is 0, compared on those with 2.
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 3.0, 0.0
+#: What a toxic row counts, which is the rarer kind.
+TOXIC_WEIGHT = 2
 EPOCHS = 8
 THRESHOLD = 0.7
 SEED = 5
@@ -83,7 +86,7 @@ class Ftrl:
     def learn(self, at: np.ndarray, value: np.ndarray, label: int) -> None:
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
-        g = (p - label) * value
+        g = (p - label) * value * (TOXIC_WEIGHT if label else 1)
         old = self.n[at]
         self.n[at] = new = old + g * g
         self.z[at] += g - (np.sqrt(new) - np.sqrt(old)) / ALPHA * w
