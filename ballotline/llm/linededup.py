@@ -12,12 +12,14 @@ stream; bytes decide, never hashes alone. What a partition removed by itself tak
 part in that and is dealt out by document. Rows alike in id and text are one document:
 each gets the same result.
 
-Memory: the distinct chunks of one input partition, one text, one chunk of a run.
+Memory: the distinct chunks and windows of one input partition, one text, one chunk of a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from hashlib import blake2b
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,9 @@ from .common import map_arrow
 
 LONG = 16
 LEAST = 12
+WIDE = 256
+#: Places from here on are windows, below it chunks.
+_WINDOWS = 1 << 30
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -66,7 +71,60 @@ def chunks(text: str | None) -> list[tuple[str, bool, int]]:
     return out
 
 
-def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(text: str | None) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, what is compared) of a text's windows, in order; those of long lines only are left out.
+
+    A window that overlaps an equal one before it is compared with its distance from that, so that it doesn't count as its repeat.
+    """
+    if not text:
+        return []
+    at, size, form = [], [], []
+    for k, line in enumerate(text.split("\n")):
+        if n := len(line.split()):
+            raw = line.encode("utf-8", "surrogatepass")
+            at.append(k)
+            size.append(n)
+            form.append(b"\1" + blake2b(raw, digest_size=16).digest() if n >= LONG or len(raw) > WIDE else b"\0" + raw + b"\n")
+    ranges = set()
+    hi = words = 0
+    for lo in range(len(at)):
+        while hi < len(at) and (words < LEAST or hi - lo < 2):
+            words += size[hi]
+            hi += 1
+        if words >= LEAST and hi - lo >= 2:
+            ranges.add((lo, hi))
+        words -= size[lo]
+    lo = words = 0
+    for hi in range(1, len(at) + 1):
+        words += size[hi - 1]
+        while words - size[lo] >= LEAST and hi - lo > 2:
+            words -= size[lo]
+            lo += 1
+        if words >= LEAST and hi - lo >= 2:
+            ranges.add((lo, hi))
+    out, last = [], {}
+    for lo, hi in sorted(ranges):
+        if min(size[lo:hi]) < LONG:
+            raw = b"".join(form[lo:hi])
+            if lo < last.get(raw, (0, 0))[1]:
+                raw += b"\2%d" % (lo - last[raw][0])
+            else:
+                last[raw] = (lo, hi)
+            out.append((at[lo], at[hi - 1], raw))
+    return out
+
+
+def _units(text: str | None, runs: bool) -> Iterator[tuple[int, bytes]]:
+    """(place, what is compared) of all that may be removed from a text."""
+    for at, (chunk, may, _) in enumerate(chunks(text)):
+        if may:
+            yield at, b"c" + chunk.encode("utf-8", "surrogatepass")
+    if runs:
+        for k, (_, _, raw) in enumerate(windows(text)):
+            yield _WINDOWS + k, b"w" + raw
+
+
+def _locals(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.RecordBatch]:
     """(id, key, text) rows in. Out: a row with bytes for every chunk of the partition, one without for what repeats it."""
     first: dict[bytes, tuple] = {}
     gone: list[tuple] = []
@@ -80,10 +138,8 @@ def _locals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (doc, key) in seen:
                 continue
             seen.add((doc, key))
-            for at, (chunk, may, _) in enumerate(chunks(text)):
-                if not may:
-                    continue
-                raw, place = chunk.encode("utf-8", "surrogatepass"), (doc is None, doc or 0, key, at)
+            for at, raw in _units(text, runs):
+                place = (doc is None, doc or 0, key, at)
                 if (other := first.get(raw)) is None:
                     first[raw] = place
                 else:
@@ -130,11 +186,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lines, dropped, parts = [], [], [], []
         for text, gone in zip(b.column(k).to_pylist(), b.column(g).to_pylist()):
             cut = set(gone or ())
-            found = chunks(text) if cut else []
             lines.append(0 if text is None else text.count("\n") + 1)
-            dropped.append(sum(n for at, (_, _, n) in enumerate(found) if at in cut))
-            parts.append(len(cut))
-            texts.append("\n".join(c for at, (c, _, _) in enumerate(found) if at not in cut) if cut else text)
+            out, n = set(), 0
+            if any(at >= _WINDOWS for at in cut):
+                for at, (lo, hi, _) in enumerate(windows(text), _WINDOWS):
+                    if at in cut:
+                        out.update(range(lo, hi + 1))
+            first = 0
+            for at, (_, _, m) in enumerate(chunks(text) if cut else []):
+                if at in cut:
+                    out.update(range(first, first + m))
+                n += any(j in out for j in range(first, first + m))
+                first += m
+            dropped.append(len(out))
+            parts.append(n)
+            texts.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in out) if cut else text)
         rest = [j for j in range(b.num_columns) if j not in (k, g)]
         yield pa.RecordBatch.from_arrays(
             [*(b.column(j) for j in rest), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(parts, pa.int64())],
@@ -142,12 +208,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _deduplicated(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _deduplicated(docs: DataFrame, id_col: str, text: str, runs: bool) -> DataFrame:
     """Columns c0.. of ``docs`` without the text, then __text, __lines, __removed and __chunks."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     c_id, c_text = names[docs.columns.index(id_col)], names[docs.columns.index(text)]
     held = docs.toDF(*names).withColumn("__key", F.xxhash64(c_text)).withColumn("__id", F.col(c_id).cast("long"))
-    own = map_arrow(held.select("__id", "__key", c_text), _locals, "id long, key long, at int, hash long, chunk binary")
+    own = map_arrow(held.select("__id", "__key", c_text), partial(_locals, runs=runs), "id long, key long, at int, hash long, chunk binary")
     slot = F.coalesce(F.xxhash64("hash"), F.lit(0).cast("long"))
     slot = F.when(F.col("hash").isNull(), F.xxhash64("id", "key", "at")).otherwise(slot)
     met = own.repartition(slot).sortWithinPartitions("hash", F.col("id").asc_nulls_last(), "key", "at")
@@ -159,18 +225,20 @@ def _deduplicated(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return map_arrow(joined, _without, schema)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
     """(id, text, n_lines, n_removed_lines, n_removed_chunks) of every row, text without the removed chunks.
 
+    With ``runs``, lines of repeated runs go as well, and n_removed_chunks counts the chunks of which lines are gone.
+
     Null texts stay null, empty ones empty; a text of which nothing is left is empty.
     Rows with a null id take part, after all others. Repeated rows get equal results. An
     empty table gives no rows; further columns are ignored, whatever their names.
     """
-    out = _deduplicated(docs.select(F.col(id_col).alias(id_col), F.col(text).alias(text)), id_col, text)
+    out = _deduplicated(docs.select(F.col(id_col).alias(id_col), F.col(text).alias(text)), id_col, text, runs)
     return out.select(F.col("c0").alias(id_col), F.col("__text").alias(text), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed_lines"), F.col("__chunks").alias("n_removed_chunks"))
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
     """``docs``, every row and column, its texts without the removed chunks."""
-    out = _deduplicated(docs, id_col, text)
+    out = _deduplicated(docs, id_col, text, runs)
     return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -42,7 +42,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(_table(spark, sf_dir, "documents"))
+    return linededup.line_dedup(_table(spark, sf_dir, "documents"), runs=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

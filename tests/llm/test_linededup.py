@@ -73,3 +73,23 @@ def test_edges(spark):
     assert all(t == want[d, s] for d, s, _ in rows for t in by[d])
     assert by[12] == [f"{block}\ntail"] and len(by[13][0]) < 0.6 * len(block)
     assert linededup.line_dedup(docs.limit(0)).collect() == [] and linededup.apply(docs.limit(0)).collect() == []
+
+
+def test_repeated_runs_of_short_lines_go_whole(spark):
+    rnd = random.Random(5)
+    line = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, rest = [], {}
+    for k, sizes in enumerate(([14] * 4, [12] * 5, [10] * 6, [5] * 20, [11, 1, 1, 1, 20, 1, 1], [3, 30, 3, 30, 3], [15, 1, 1, 1]) * 8):
+        run = [line(n) for n in sizes]
+        if k % 2:
+            run.insert(2, "")
+        own = [line(3 + j) for j in range(4)]
+        rows += [(2 * k, "\n".join([line(4), *run, line(9)])), (2 * k + 1, "\n".join([*own[:2], *run, *own[2:]]))]
+        rest[2 * k + 1] = "\n".join(own)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in linededup.line_dedup(docs, runs=True).collect()}
+    assert all(got[k].text == t for k, t in rest.items()) and all(got[k].text == t for k, t in rows if k not in rest)
+    assert {r.doc_id: r.text for r in linededup.apply(docs, runs=True).collect()} == {k: r.text for k, r in got.items()}
+    # a run within one text keeps its first twelve words
+    docs = spark.createDataFrame([(1, "a b c\n" * 9 + "end"), (2, "x\n" + "a b c\n" * 5 + "y"), (3, "Licensed under X.\n\nend"), (4, "Licensed under X.\n\nend")], "doc_id long, text string")
+    assert [r.text for r in linededup.line_dedup(docs, runs=True).orderBy("doc_id").collect()] == ["a b c\n" * 4 + "end", "x\ny", *["Licensed under X.\n\nend"] * 2]
