@@ -5,7 +5,7 @@ sentence) and units become typed placeholders; case and outer punctuation go. Wi
 of five template words, with at least two words that are no placeholders, are hashed
 and joined with the benchmark's windows. A document holds an item if at least 0.8 of
 the item's windows stand close together in it and its slots are consistent: wherever
-the windows match, one value of the item's slots always answers to one and the same
+the windows match (of repeated ones, as they are best aligned), one value of the item's slots always answers to one and the same
 value in the text. So a question asked again with other numbers or names is
 caught, and a text that only happens to share phrases isn't.
 
@@ -116,6 +116,61 @@ def _value(raw: str) -> str:
     return raw.strip(_OUTER).lower()
 
 
+def _stretch(found: list[tuple[int, int]], w: np.ndarray, span: int) -> tuple[int, list[tuple[int, int]]]:
+    """(different windows, pairs) of the stretch of at most ``span`` words that holds most windows; found: (place in the text, place in the item), sorted."""
+    n, lo, best, where = defaultdict(int), 0, 0, (0, 0)
+    for hi, (p, _) in enumerate(found):
+        n[w[p]] += 1
+        while p - found[lo][0] > span:
+            old = w[found[lo][0]]
+            n[old] -= 1
+            if not n[old]:
+                del n[old]
+            lo += 1
+        if len(n) > best:
+            best, where = len(n), (lo, hi)
+    return best, found[where[0] : where[1] + 1]
+
+
+def _aligned(part: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs by which slots are judged: one item place for a text place, and the other way round.
+
+    Where windows repeat, the best chain of pairs that rises in both places counts (a pair
+    counts one, and one more if it follows on the diagonal of the one before); pairs
+    outside it only if neither place occurs in it and the text place has no other pair.
+    """
+    texts, items = defaultdict(int), defaultdict(int)
+    for p, q in part:
+        texts[p] += 1
+        items[q] += 1
+    if len(texts) == len(part) == len(items):
+        return part
+    pairs = sorted(part, key=lambda x: (x[0], -x[1]))
+    ranks = {q: r for r, q in enumerate(sorted(items), 1)}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(ranks) + 1)  # best (score, pair) up to a rank, as a Fenwick tree
+    last: dict[int, tuple[int, int]] = {}
+    back, top = [-1] * len(pairs), (0, -1)
+    for k, (p, q) in enumerate(pairs):
+        # of one text place the later item places come first, so none follows another
+        r, before = ranks[q] - 1, (0, -1)
+        while r:
+            before = max(before, tree[r])
+            r &= r - 1
+        if q - p in last and (same := last[q - p])[0] + 1 >= before[0]:
+            before = (same[0] + 1, same[1])
+        now, back[k] = (before[0] + 1, k), before[1]
+        last[q - p], top, r = now, max(top, now), ranks[q]
+        while r < len(tree):
+            tree[r] = max(tree[r], now)
+            r += r & -r
+    chain, k = [], top[1]
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    in_text, in_item = {p for p, _ in chain}, {q for _, q in chain}
+    return sorted([*chain, *((p, q) for p, q in part if texts[p] == 1 and p not in in_text and q not in in_item)])
+
+
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
@@ -152,29 +207,17 @@ class Items:
 
     def _best(self, k: int, found: list[tuple[int, int]], words: list[str], w: np.ndarray) -> tuple[float, float, int]:
         """The stretch of at most 1.5 times the item's length that holds most of its windows."""
-        span = len(self.words[k]) * 3 // 2 + WINDOW
-        size, n, lo, best, where = self.size[k], defaultdict(int), 0, 0, (0, 0)
-        for hi, (p, _) in enumerate(found):
-            n[w[p]] += 1
-            while p - found[lo][0] > span:
-                old = w[found[lo][0]]
-                n[old] -= 1
-                if not n[old]:
-                    del n[old]
-                lo += 1
-            if len(n) > best:
-                best, where = len(n), (lo, hi)
-        part = found[where[0] : where[1] + 1]
+        best, part = _stretch(found, w, len(self.words[k]) * 3 // 2 + WINDOW)
         answers = defaultdict(lambda: defaultdict(int))
         seen = set()
-        for p, q in part:
+        for p, q in _aligned(part):
             for j in range(min(WINDOW, len(self.words[k]))):
                 if self.slots[k][q + j] and (p + j, q + j) not in seen:
                     seen.add((p + j, q + j))
                     answers[self.words[k][q + j]][_value(words[p + j])] += 1
         total = sum(sum(a.values()) for a in answers.values())
         agreed = sum(max(a.values()) for a in answers.values())
-        return best / size, agreed / total if total else 1.0, part[0][0]
+        return best / self.size[k], agreed / total if total else 1.0, part[0][0]
 
 
 def _finder(items: Items):

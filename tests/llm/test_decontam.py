@@ -79,3 +79,20 @@ def test_blocks_lose_nothing(spark):
     for d in docs.limit(200).collect():
         parts = sorted(f for m in many for f in m.held_by(d.text, forms))
         assert parts == sorted(whole.held_by(d.text, forms))
+
+
+REPEATING = [
+    "There were 12 apples in the first box, there were 15 apples in the second box and there were 19 apples in the third box. How many apples were there in all of the boxes?",
+    "On the first day the shop sold 30 cakes. On the second day the shop sold 45 cakes. On the third day the shop sold 25 cakes. How many cakes did the shop sell?",
+    "The farmer Anna has 12 cows and the farmer Peter has 17 cows and the farmer Maria has 23 cows. How many cows do the farmers have together?",
+]
+
+
+def test_items_that_repeat_a_phrase_are_found_as_copies():
+    forms, items = decontam._Forms(), decontam.Items(list(enumerate(REPEATING)))
+    for k, item in enumerate(REPEATING):
+        for text in (item, f"Some words before. {item} And words after it.", f"{item} {item}", item.replace(" and ", " and also "), item.replace("12", "40").replace("30", "80")):
+            found = {f[0]: f for f in items.held_by(text, forms)}[k]
+            assert found[2] == 1.0 and (found[1] == 1.0 or "also" in text)
+    loose = decontam.Items([(1, ITEM)]).held_by(ITEM.replace("walked 7", "walked 99") + " " + ITEM[:40], forms)[0]
+    assert loose[1] == 1.0 and loose[2] < 1
