@@ -9,6 +9,10 @@ the windows match (of repeated ones, as they are best aligned), one value of the
 value in the text. So a question asked again with other numbers or names is
 caught, and a text that only happens to share phrases isn't.
 
+Items without a countable window, and those of under five words, are also looked up as they
+stand: by windows of five words in folded case, operators among them, or of all their words if
+they have fewer. An item of one word isn't, and one without letters and digits is none.
+
 The benchmark goes to the tasks as sorted arrays, in blocks of at most
 ``BLOCK_WINDOWS`` windows (some MB): a larger benchmark takes more passes over the texts,
 each with one block, and loses nothing. Items never span blocks. Texts are read once
@@ -44,17 +48,25 @@ _OUTER = "\"'`´’‘“”„«»()[]{}<>.,;:!?¡¿…*#&|~^_=\\/-—–"
 _LINE = "\0"
 
 
+_OPERATORS = frozenset("+-*/=<>^×÷−±≤≥≠")
+
+
+def _literal(raw: str) -> str:
+    """A raw word in folded case without outer punctuation, or an operator; else nothing."""
+    return raw.strip(_OUTER).casefold() or (raw if _OPERATORS.issuperset(raw) else "")
+
+
 class _Forms(dict):
-    """Raw words to numbers, by which ``mid`` and ``start`` give their hashes inside a sentence and at its start and ``flags`` what they are."""
+    """Raw words to numbers, by which ``mid`` and ``start`` give their hashes inside a sentence and at its start, ``same`` those of ``_literal`` and ``flags`` what they are."""
 
-    ENDS, SLOT_MID, SLOT_START, WORD = 1, 2, 4, 8
+    ENDS, SLOT_MID, SLOT_START, WORD, LITERAL = 1, 2, 4, 8, 16
 
     def __init__(self) -> None:
         self._sized(_CACHE)
 
     def _sized(self, n: int) -> None:
         self.clear()
-        self.mid, self.start, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        self.mid, self.start, self.same, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
 
     def numbers(self, raw: list[str]) -> np.ndarray:
         """Forgets all words first if those of a text could be too many for what is held."""
@@ -67,6 +79,9 @@ class _Forms(dict):
         flags = self.ENDS if raw == _LINE or raw.rstrip("\"'’”»)]*#&%$|_~")[-1:] in (".", "!", "?", ":") else 0
         word = raw.strip(_OUTER)
         low = word.lower()
+        if raw != _LINE and (same := _literal(raw)):
+            flags |= self.LITERAL
+            self.same[k] = xxhash.xxh64_intdigest(same.encode("utf-8", "surrogatepass"))
         if word and (low.isalpha() or any(c.isalnum() for c in word)):
             flags |= self.WORD
             if low in _NUMBER_WORDS or (not low.isalpha() and _NUMBER.fullmatch(word)):
@@ -84,6 +99,18 @@ class _Forms(dict):
         return k
 
 
+def literals(text: str | None, forms: _Forms) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words and operators in folded case, their hashes, how many of the template's words stand before each)."""
+    raw = (text or "").replace("\n", f" {_LINE} ").split()
+    if not raw:
+        return [], np.empty(0, np.uint64), np.empty(0, int)
+    k = forms.numbers(raw)
+    flags = forms.flags[k]
+    at = np.flatnonzero(flags & forms.LITERAL)
+    before = np.cumsum((flags & forms.WORD) != 0) - ((flags & forms.WORD) != 0)
+    return [_literal(raw[j]) for j in at.tolist()], forms.same[k][at], before[at]
+
+
 def template(text: str | None, forms: _Forms) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words as they are, their template hashes, which are placeholders). Null and wordless texts: none."""
     raw = (text or "").replace("\n", f" {_LINE} ").split()
@@ -99,15 +126,22 @@ def template(text: str | None, forms: _Forms) -> tuple[list[str], np.ndarray, np
     return [raw[j] for j in word.tolist()] if len(word) < len(raw) else raw, h[word], slot[word]
 
 
+def _hashed(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the window of ``n`` words at each place."""
+    out = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def windows(h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the window at each place, may it count); texts under five words have one window of all their words."""
     n = min(WINDOW, len(h))
     if not n:
         return np.empty(0, np.uint64), np.empty(0, bool)
-    out, free = np.full(len(h) - n + 1, n, np.uint64), np.zeros(len(h) - n + 1, int)
+    out, free = _hashed(h, n), np.zeros(len(h) - n + 1, int)
     for k in range(n):
-        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
         free += ~slot[k : k + len(out)]
     return out, free >= min(LITERALS, n)
 
@@ -177,6 +211,8 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         forms, keys, at = _Forms(), [], []
         self.ids, self.words, self.slots, self.size = [], [], [], []
+        self.literal: dict[int, tuple[list[str], int]] = {}  # item: (words, windows)
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}  # words of a window: its hash: (item, place)
         for item, text in items:
             words, h, slot = template(text, forms)
             w, counts = windows(h, slot)
@@ -187,9 +223,18 @@ class Items:
             self.size.append(len(np.unique(w[counts])))
             keys.append(w[counts])
             at.append(np.stack([np.full(counts.sum(), k), np.flatnonzero(counts)], 1))
+            if 0 < len(words) < WINDOW or (len(words) and not counts.any()):
+                words, h, _ = literals(text, forms)
+                if len(words) > 1:
+                    n = min(WINDOW, len(words))
+                    w = _hashed(h, n).tolist()
+                    self.literal[k] = words, len(set(w))
+                    for q, x in enumerate(w):
+                        self.places.setdefault(n, {}).setdefault(x, []).append((k, q))
         keys, at = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty((0, 2), int), *at])
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], at[order]
+        self.literal_keys = {n: np.sort(np.fromiter(p, np.uint64, len(p))) for n, p in self.places.items()}
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -203,7 +248,29 @@ class Items:
         for p, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
             for item, q in self.at[a:b].tolist():
                 hits[item].append((p, q))
-        return [(self.ids[k], *self._best(k, found, words, w)) for k, found in hits.items()]
+        out = {k: self._best(k, found, words, w) for k, found in hits.items()}
+        if self.places:
+            for k, found in self._literal_held_by(text, forms).items():
+                if k not in out or min(out[k][:2]) < min(found[:2]):
+                    out[k] = found
+        return [(self.ids[k], *found) for k, found in out.items()]
+
+    def _literal_held_by(self, text: str | None, forms: _Forms) -> dict[int, tuple[float, float, int]]:
+        """{item: (share of its literal windows, 1, first word)}."""
+        words, h, before = literals(text, forms)
+        out = {}
+        for n, places in self.places.items():
+            w, keys = _hashed(h, n), self.literal_keys[n]
+            near = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, w), len(keys) - 1)] == w)
+            hits = defaultdict(list)
+            for p in near.tolist():
+                for k, q in places[int(w[p])]:
+                    if words[p : p + n] == self.literal[k][0][q : q + n]:
+                        hits[k].append((p, q))
+            for k, found in hits.items():
+                best, part = _stretch(found, w, len(self.literal[k][0]) * 3 // 2 + n)
+                out[k] = best / self.literal[k][1], 1.0, int(before[part[0][0]])
+        return out
 
     def _best(self, k: int, found: list[tuple[int, int]], words: list[str], w: np.ndarray) -> tuple[float, float, int]:
         """The stretch of at most 1.5 times the item's length that holds most of its windows."""
@@ -259,7 +326,7 @@ def _hits(keyed: DataFrame, benchmark: DataFrame, item_col: str, text: str) -> D
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item, share, consistency, word) of every item that a document holds; word: where it begins, from 0, in words.
 
-    Null and empty texts hold nothing; items that are null or have no countable window are ignored;
+    Null and empty texts hold nothing; items that are null, or without letters and digits, are ignored;
     repeated rows give repeated results; several items of equal text are all reported.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text).alias("text"))

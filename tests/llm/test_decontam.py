@@ -96,3 +96,16 @@ def test_items_that_repeat_a_phrase_are_found_as_copies():
             assert found[2] == 1.0 and (found[1] == 1.0 or "also" in text)
     loose = decontam.Items([(1, ITEM)]).held_by(ITEM.replace("walked 7", "walked 99") + " " + ITEM[:40], forms)[0]
     assert loose[1] == 1.0 and loose[2] < 1
+
+
+def test_items_without_countable_windows_are_found(spark):
+    bench = ["Solve 12 + 5 * 3 - 4 = 19 kg", "Barack Obama Met Angela Merkel In Berlin Germany", "What is 12 + 15 ?", "Who wrote Hamlet?", ITEM, "1 2 3 4 5 6", "Yes", "? !", "12 kg"]
+    texts = {k: f"Some text before it. {b} And some more\nwords after it." for k, b in enumerate(bench)}
+    texts |= {20: "A 1 2 3 4 5 7 B", 21: "What is 12 - 15 ?\nWhat is 13 + 15 in all", 22: "Barack Obama met Peter in Berlin", 23: "so WHO WROTE\nhamlet then", 24: "who wrote the play Hamlet", 25: "What is 77 + 99 ?", 26: None, 27: "", 28: "Yes"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {r.doc_id: r.items for r in decontam.report(docs, items).collect()}
+    assert {d: i for d, i in got.items() if i} == {k: [k] for k in range(9) if k not in (6, 7)} | {23: [3], 25: [2], 28: [6]}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, items).collect()} == {d for d, i in got.items() if not i}
+    at = {(r.doc_id, r.item_id): r.word for r in decontam.find(docs, items).collect()}
+    assert at[0, 0] == at[2, 2] == at[4, 4] == 4 and at[23, 3] == 1
