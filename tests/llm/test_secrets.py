@@ -63,3 +63,24 @@ def test_edges(spark):
     got = {r.doc_id: r.text for r in clean.collect()}
     assert got[1] is None and got[3] == "é [SECRET] and again [SECRET]." and hexes not in got[9] and got[5] == texts[5]
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+def test_long_secrets_are_whole(spark):
+    import base64
+    import hashlib
+
+    mixed = lambda n: base64.b64encode(b"".join(hashlib.sha512(b"%d %d" % (n, k)).digest() for k in range(n // 80 + 1))).decode().replace("/", "x").replace("+", "y").replace("=", "z")[:n]
+    pem = "\n".join(mixed(1600)[k : k + 64] for k in range(0, 1600, 64))
+    secret = {
+        1: f"token={mixed(400)}", 2: f"xoxb-{mixed(120)}", 3: f"sk_live_{mixed(100)}", 4: f"eyJ{mixed(60)}.{mixed(1700)}.{mixed(340)}", 5: f"eyJ{mixed(700)}.{mixed(90)}.{mixed(600)}", 6: f"https://bob:{mixed(100)}@",
+        7: mixed(300), 8: mixed(5000), 9: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,A0\n\n{pem}\n-----END RSA PRIVATE KEY-----", 10: f"password: {mixed(100_000)}", 11: f"https://{'u' * 90}:{mixed(20)}@",
+    }
+    docs = spark.createDataFrame([(k, f"words before {s} and after it", "src") for k, s in secret.items()], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert {k: (r.n_candidates, r.n_secrets, r.starts) for k, r in found.items()} == {k: (1, 1, [13]) for k in secret}
+    assert got == {k: "words before [SECRET] and after it" for k in secret}
+    # without an END line only the BEGIN line is one; texts of many BEGIN lines and of long runs stay quick
+    rows = [(1, "-----BEGIN PRIVATE KEY----- " * 20_000), (2, "- " * 200_000 + "-----BEGIN PRIVATE KEY-----" + " -" * 200_000), (3, "ab" * 500_000), (4, "-" * 1_000_000)]
+    out = {r.doc_id: r.n_candidates for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), path=None).collect()}
+    assert out == {1: 20_000, 2: 1, 3: 1, 4: 0}
