@@ -2,7 +2,7 @@
 
 Only block elements become nodes; inline markup is read through, links are counted. Start
 tags that imply an end (p, li, td, ...) give it, stray end tags are ignored, what is open at
-the end is closed. Scripts, styles, templates, comments and the head are left out.
+the end is closed. Quoted values have any length; only a tag whose quote is never closed ends at its first >. Scripts, styles, templates, comments and the head are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 import re
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^><]*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^><]*)>|<[!?][^>]*>",
     re.S,
 )
 BLOCK = frozenset(
@@ -178,6 +178,8 @@ _KINDS = (
 _KIND_OF = {t: k for k, g in reversed(list(enumerate(_KINDS))) for t in g}
 _CUES = (re.compile(r"©|\(c\)|copyright|all rights reserved|alle rechte|derechos|droits", re.I), re.compile(r"cookie|consent|gdpr|privacy|subscribe|newsletter|sign up|log in|accept", re.I), re.compile(r"advert|sponsor|promo", re.I), re.compile(r"comment|repl(?:y|ies)|says:|wrote:", re.I))
 
+#: Longer attributes aren't kept in ``_seen``.
+_KEPT = 4096
 _seen: dict[str, tuple[int, ...]] = {}
 
 
@@ -196,8 +198,9 @@ def attribute_groups(attrs: str) -> tuple[int, ...]:
     out[-1] = int("display:none" in attrs.replace(" ", "") or re.search(r"\bhidden\b|aria-hidden=.?true", attrs) is not None)
     if len(_seen) > 50_000:
         _seen.clear()
-    _seen[attrs] = tuple(out)
-    return _seen[attrs]
+    if len(attrs) <= _KEPT:
+        _seen[attrs] = tuple(out)
+    return tuple(out)
 
 
 N_FEATURES = 30 + 2 * len(_KINDS) + 2 * (len(_GROUPS) + 1) + len(_CUES)

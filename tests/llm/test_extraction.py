@@ -94,3 +94,17 @@ def test_edges(spark):
     assert by[4] == [f"Title\n{text.strip()}\nmore <b> here"] * 2
     assert by[5][0].count("\n") == 2999
     assert extraction.extract(pages.limit(0)).collect() == []
+
+
+def test_quoted_values_of_any_length():
+    for n in (4000, 5000, 300_000):
+        for fill in ("a > b ", "<p class='x'>in</p> "):
+            value = (fill * (n // len(fill) + 1))[:n]
+            page = dom.Page(f'<body><div id="first" data-props="{value}" class="article">Text here</div><p>More</p></body>')
+            assert page.tag == ["#page", "body", "div", "p"] and [t for _, t in page.texts] == ["Text here", "More"]
+            assert value.lower() in page.attrs[2] and page.attrs[2].endswith('class="article"') and dom.attribute_groups(page.attrs[2])[list(dom.TOKENS).index("content")] >= 1
+    assert [t for _, t in dom.Page("<div onclick='" + "f(\"x\") > 1;" * 900 + "'>Text</div>").texts] == ["Text"]
+    # a quote that is never closed
+    page = dom.Page('<p class="x>Text</p><p>' + "word " * 2000 + "</p>")
+    assert page.tag == ["#page", "p", "p"] and [t[:9] for _, t in page.texts] == ["Text", "word word"]
+    assert dom.Page("<a '\"" * 100_000).tag == ["#page"] and dom.Page('<p a="' + "<p a='" * 100_000).tag[0] == "#page"
