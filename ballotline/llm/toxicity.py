@@ -5,8 +5,8 @@ letters, which carry over to endings not yet seen), pairs of neighbouring words
 and pairs with one word between, hashed to 2^20 places. FTRL-proximal keeps a sum of
 gradients and of their squares for each place: every place has a learning rate of
 its own, and the L1 term holds a weight at exactly zero until its evidence exceeds
-it. So what one or two texts happen to hold never gets a weight, and the model is some
-thousand numbers, which are broadcast (never more than 2^20).
+it. Most of what only a few texts happen to hold gets no weight, so the model is small:
+numbers, which are broadcast (never more than 2^20).
 
 Training uses at most ``rows`` labelled rows, those whose ids have the smallest
 hashes. Their ids, bounded by that number, pick the texts by a broadcast join;
@@ -109,12 +109,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << BITS, np.int32)
     for s in sets:
         seen[s] += 1
-    # a place weighs less the more texts have it; those with one text can't reach the L1 bound and are left out
+    # a place weighs less the more texts have it
     rare = np.clip(np.log((len(sets) + 1) / np.maximum(seen, 1)) / np.log(max(len(sets), 2) / 2 + 1), 0, 1)
     model, bias = Ftrl(), np.array([1 << BITS])
-    kept = [s[seen[s] > 1] for s in sets]
     for _ in range(EPOCHS):
-        for s, label in zip(kept, labels):
+        for s, label in zip(sets, labels):
             model.learn(np.concatenate([s, bias]), np.append(rare[s], 1.0), label)
     w = model.weights(np.arange((1 << BITS) + 1))
     w[:-1] *= rare

@@ -51,3 +51,14 @@ def test_edges(spark):
     assert left.columns == docs.columns and left.count() == len(rows) - 101
     assert toxicity.score(docs.limit(0), labels).collect() == []
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_places_of_one_text_are_learned():
+    import pyarrow as pa
+
+    from ballotline.llm import toxicity
+
+    sets = [[1, 7], *[[1]] * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21), pa.int64()), pa.array([1] + [0] * 20, pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["turn", "label", "places"])
+    out = pa.Table.from_batches(toxicity._train(iter([batch]))).to_pydict()
+    assert dict(zip(out["place"], out["weight"])).get(7, 0) > 0
