@@ -26,6 +26,14 @@ from .tables import Written, sized
 
 _FAR = 1 << 62
 BUCKETS = 64
+#: References that bound the distances of ``brute``, about.
+SAMPLE = 2048
+#: References for each core below which they are dealt out anew: few bytes come in few partitions, but pairs are work.
+SPREAD_ROWS = 100_000
+#: Most pairs of query and leaf that are broadcast (about 150 bytes each).
+WANTED_ROWS = 250_000
+#: Most leaves whose ids are a filter of the references' scan.
+LEAF_FILTER = 1000
 #: Levels of splits that a step of a search goes down: 16 boxes below each.
 FAN = 4
 _BOX = [f"{side}{i}" for side in ("lo", "hi") for i in range(DIMS)]
@@ -42,19 +50,31 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def brute(queries: DataFrame, refs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(qid, rank, ref_id, label, d2), all pairs compared. A check for small data; ``pruned`` gives the same.
+    """(qid, rank, ref_id, label, d2), the stated queries compared with all references. A check; ``pruned`` gives the same.
 
-    Pairs are never sorted: the references are dealt out to ``BUCKETS`` buckets, and a query's k-th smallest minimum of
-    a bucket bounds its k-th distance. A second pass keeps the few pairs within the bound.
+    Queries go in broadcast blocks of at most BROADCAST_ROWS. Pairs are never sorted or shuffled: about ``SAMPLE`` references, chosen by
+    the hashes of their ids, bound each query's k-th distance (by minima of ``BUCKETS`` buckets), and only pairs within the bound leave the join.
+    Null components give no distance, so that such rows are no neighbours; a qid that occurs twice counts as one query.
     """
-    q, r = queries.select("qid", *VECTOR), _renamed(refs)
-    pairs = r.crossJoin(sized(q, BROADCAST_ROWS))
-    least = pairs.groupBy("qid", F.pmod(F.xxhash64("ref_id"), F.lit(BUCKETS)).alias("bucket")).agg(F.min(squared_distance()).alias("least"))
-    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("least")))
-    kth = ranked.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("least"))).alias("kth"))
-    bounded = Written(q.join(kth, "qid").withColumn("bound", F.coalesce("kth", F.lit(_FAR))), "bounds").df
-    near = r.crossJoin(sized(bounded, BROADCAST_ROWS)).select("qid", "ref_id", "label", squared_distance().alias("d2"), "bound").where("d2 <= bound")
-    return _nearest(near, k).select("qid", "rank", "ref_id", "label", "d2")
+    q = Written(queries.select("qid", *VECTOR).dropDuplicates(["qid"]), "queries").df
+    n, blocks = refs.count(), max(1, -(-q.count() // BROADCAST_ROWS))
+    r = _spread(_renamed(refs), n)
+    some = r.where(F.pmod(F.xxhash64("ref_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    out = None
+    for block in range(blocks):
+        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        least = some.crossJoin(F.broadcast(mine)).groupBy("qid", F.pmod(F.xxhash64(F.lit(1), "ref_id"), F.lit(BUCKETS)).alias("bucket")).agg(F.min(squared_distance()).alias("least"))
+        ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("least")))
+        kth = ranked.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("least"))).alias("kth"))
+        bounded = Written(mine.join(kth, "qid", "left").withColumn("bound", F.coalesce("kth", F.lit(_FAR))), "bounds").df
+        near = r.join(F.broadcast(bounded), squared_distance() <= F.col("bound")).select("qid", "ref_id", "label", squared_distance().alias("d2"))
+        out = near if out is None else out.union(near)
+    return _nearest(out, k).select("qid", "rank", "ref_id", "label", "d2")
+
+
+def _spread(refs: DataFrame, rows: int) -> DataFrame:
+    cores = refs.sparkSession.sparkContext.defaultParallelism
+    return refs.repartition(cores) if rows < cores * SPREAD_ROWS else refs
 
 
 class Index:
@@ -66,7 +86,8 @@ class Index:
         self.parts = part_boxes if part_boxes is not None else Written(boxes(self._corners(), "part_key"), "part-boxes").df
         # boxes of the tree's nodes, FAN levels of splits at a time, so that a search never looks at all leaves of a partition
         node = lambda t: F.expr(f"shiftright(leaf_id, greatest(length(bin(leaf_id)) - 1 - {FAN * t}, 0))")
-        deepest = self.leaves.agg(F.max(F.length(F.bin("leaf_id")) - 1)).first()[0] or 0
+        deepest, rows = self.leaves.agg(F.max(F.length(F.bin("leaf_id")) - 1), F.sum("n")).first()
+        deepest, self.rows = deepest or 0, rows or 0
         self.steps = []
         for t in range(1, max(1, -(-deepest // FAN)) + 1):
             rows = self._corners("leaf_id").withColumn("up", node(t - 1)).withColumn("down", node(t))
@@ -94,26 +115,31 @@ def _first_leaf(queries: DataFrame, index: Index) -> DataFrame:
     return at.select("qid", F.col("target").alias("part_key"), F.col("up").alias("leaf_id"))
 
 
-def _scan(wanted: DataFrame, refs: DataFrame) -> DataFrame:
+def _scan(wanted: DataFrame, index: Index) -> DataFrame:
     """(qid, ref_id, label, d2) of the references in the leaves of (qid, part_key, leaf_id, v0.., bound), as near as the bound.
 
     References are read where they lie while the leaves wanted are few enough to be broadcast (counted); else both sides meet by leaf.
     """
     held = Written(wanted, "wanted").df
-    pairs = _renamed(refs, "part_key", "leaf_id").join(sized(held, BROADCAST_ROWS), ["part_key", "leaf_id"])
+    # what is wanted is known: at most 256 partitions, whose files alone are opened, and if few, leaves, by which row groups are skipped
+    refs = index.refs.where(F.col("part_key").isin([r[0] for r in held.select("part_key").distinct().collect()]))
+    leaves = held.select("leaf_id").distinct().limit(LEAF_FILTER + 1).collect()
+    if len(leaves) <= LEAF_FILTER:
+        refs = refs.where(F.col("leaf_id").isin([r[0] for r in leaves]))
+    pairs = _spread(_renamed(refs, "part_key", "leaf_id"), index.rows).join(sized(held, WANTED_ROWS), ["part_key", "leaf_id"])
     return pairs.select("qid", "ref_id", "label", squared_distance().alias("d2"), "bound").where("d2 <= bound").drop("bound")
 
 
 def pruned(queries: DataFrame, index: Index, k: int = NEIGHBOURS, early_stop: bool = False) -> DataFrame:
-    """(qid, rank, ref_id, label, d2), equal to ``brute``. Queries have (qid, v0.., part_key), qid unique.
+    """(qid, rank, ref_id, label, d2), equal to ``brute``. Queries have (qid, v0.., part_key), qid unique, no component null.
 
     ``early_stop`` ends the search of a query after its first leaf if its k-th squared distance is
     at most EARLY_STOP. That is approximate: a nearer reference elsewhere may be missed.
     """
-    q = queries.select("qid", "part_key", *VECTOR)
+    q = queries.select("qid", "part_key", *VECTOR).repartition(queries.sparkSession.sparkContext.defaultParallelism)
     first = Written(_first_leaf(q, index), "first-leaf").df
     start = first.join(q.drop("part_key"), "qid").withColumn("bound", F.lit(_FAR))
-    found = Written(_nearest(_scan(start, index.refs), k), "first-found").df
+    found = Written(_nearest(_scan(start, index), k), "first-found").df
     kth = found.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("d2"))).alias("kth"))
     open_ = q.join(first.select("qid", F.col("part_key").alias("seen_part"), F.col("leaf_id").alias("seen_leaf")), "qid").join(kth, "qid", "left").withColumn("bound", F.coalesce("kth", F.lit(_FAR)))
     if early_stop:
@@ -123,6 +149,6 @@ def pruned(queries: DataFrame, index: Index, k: int = NEIGHBOURS, early_stop: bo
     for step in index.steps:
         near = near.join(step, ["target", "up"]).where(lower_bound() <= F.col("bound")).select(*keep, "target", F.col("down").alias("up"))
     near = near.where((F.col("target") != F.col("seen_part")) | (F.col("up") != F.col("seen_leaf")))
-    more = _scan(near.select("qid", *VECTOR, "bound", F.col("target").alias("part_key"), F.col("up").alias("leaf_id")), index.refs)
+    more = _scan(near.select("qid", *VECTOR, "bound", F.col("target").alias("part_key"), F.col("up").alias("leaf_id")), index)
     both = found.select("qid", "ref_id", "label", "d2").union(more)
     return _nearest(both, k).select("qid", "rank", "ref_id", "label", "d2")

@@ -47,7 +47,7 @@ def _value(dim: Column) -> Column:
 
 def median_split(rows: DataFrame, key: str = "part_key", tie: str = "ref_id") -> DataFrame:
     """Adds ``side``: 0 for the first n div 2 rows of each group by its widest dimension, 1 for the others; ties by id."""
-    box = boxes(rows, key).select(key, "n", widest_dim().alias("dim"))
+    box = Written(boxes(rows, key).select(key, "n", widest_dim().alias("dim")), "widest").df
     held = rows.join(sized(box, BROADCAST_ROWS), key).withColumn("__x", _value(F.col("dim")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__x", tie))
     return held.withColumn("side", F.when(rank <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("__x", "n")

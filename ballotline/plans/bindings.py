@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import MCC_RISK
 from ..functions.moments import iso_minutes
 from ..functions.numbers import quantize
 
-#: Every so many events one is a query; coprime to the moduli below.
-EVERY = 101
+#: Queries of the searches are the rows whose id this divides; all rows are references, the queries' own among them.
+EVERY = 20
+#: Of the bodies that are scored, those whose id this divides are broken.
+BROKEN = 80
 CODES = (*MCC_RISK, "1111", "9999")
 
 
@@ -47,6 +49,22 @@ def payload_bodies(ev: DataFrame) -> DataFrame:
     return f.select(F.col("event_id").alias("qid"), body.alias("body"), "label")
 
 
+#: Ways in which a body can be broken: SQL over its JSON text.
+BREAKS = (
+    "regexp_replace(body, '\"terminal\":\\\\{[^}]*\\\\}', '\"terminal\":null')", "replace(body, '\"is_online\":', '\"is_online\":1,\"was_online\":')", "replace(body, '\"installments\":', '\"installments\":-')",
+    "regexp_replace(body, '\"tx_count_24h\":[0-9]+', '\"tx_count_24h\":4294967296')", "regexp_replace(body, '\"km_from_home\":[0-9.E-]+', '\"km_from_home\":NaN')", "regexp_replace(body, '\"requested_at\":\"[^\"]*\"', '\"requested_at\":\"yesterday\"')",
+    "substring(body, 1, length(body) - 1)", "replace(body, '\"mcc\":\"', '\"mcc\":\"x')", "concat('[', body, ']')", "CAST(NULL AS string)", "''", "regexp_replace(body, '\"known_merchants\":\\\\[[^]]*\\\\]', '\"known_merchants\":null')",
+)
+
+
+def broken(bodies: DataFrame, which: Column) -> DataFrame:
+    """``bodies`` with those that ``which`` numbers from 0 broken in that way (modulo their number); null: as they are."""
+    ways = F.when(which.isNull(), F.col("body"))
+    for k, way in enumerate(BREAKS):
+        ways = ways.when(F.pmod(which, F.lit(len(BREAKS))) == k, F.expr(way))
+    return bodies.withColumn("body", ways)
+
+
 def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, label, valid, RAW..., v0..v13, part_key) without a detour over JSON."""
     from ..functions.moments import hour_of, minutes_since, weekday_of
@@ -67,8 +85,7 @@ def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries with qid, references with ref_id) of event vectors."""
-    mine = F.col("event_id") % EVERY == 0
-    return rows.where(mine).withColumnRenamed("event_id", "qid"), rows.where(~mine).withColumnRenamed("event_id", "ref_id")
+    return rows.where(F.col("event_id") % EVERY == 0).withColumnRenamed("event_id", "qid"), rows.withColumnRenamed("event_id", "ref_id")
 
 
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DIMS, MCC_RISK, SCALE, VECTOR
+from ..constants import DIMS, LEAF_SIZE, MCC_RISK, SCALE, VECTOR
 from ..functions import moments, numbers
 from ..functions.vectors import lower_bound, mcc_slot, partition_key, squared_distance, widest_dim
 from ..operators import knn, partitions
 from ..operators.payload import extract, raw_features, risk_lookup, vectors
-from ..operators.tables import Written, sized
+from ..operators.tables import Written, new_path
 from ..operators.vote import decide, response, vote
 from ..sources.index import build_index, read_index, write_index
-from ..sources.references import default_mcc_risk
+from ..sources.references import default_mcc_risk, load_mcc_risk, load_references, quantize_references
 from . import bindings as b
 from .scoring import score as score_bodies
 
@@ -104,8 +104,40 @@ def median_split(spark, sf_dir):
 
 
 def index_leaves(spark, sf_dir):
+    """What holds for any tree, by partition: its leaves have all rows, their boxes make up its box, none is too large."""
     _, refs = _split(spark, sf_dir)
-    return partitions.boxes(build_index(refs).refs, "part_key", "leaf_id")
+    leaves = partitions.boxes(build_index(refs).refs, "part_key", "leaf_id")
+    sides = [F.min(f"lo{i}").alias(f"lo{i}") for i in range(DIMS)] + [F.max(f"hi{i}").alias(f"hi{i}") for i in range(DIMS)]
+    return leaves.groupBy("part_key").agg(F.sum("n").alias("n"), *sides, (F.max("n") <= LEAF_SIZE).alias("leaves_fit"), (F.count("*") >= F.ceil(F.sum("n") / LEAF_SIZE)).alias("leaves_enough"))
+
+
+def reference_files(spark, sf_dir):
+    """References written as gzipped JSON arrays, read back and quantized; equal ones are counted."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    one = F.to_json(F.struct(F.col("embedding").cast("array<float>").alias("vector"), F.when(F.col("label") % 4 == 0, "fraud").otherwise("legit").alias("label")))
+    files = e.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value"))
+    path = new_path(spark, "reference-files")
+    files.repartition("file").write.partitionBy("file").option("compression", "gzip").text(path)
+    held = load_references(spark, path)
+    return quantize_references(held).groupBy(*VECTOR, "label").agg(F.count("*").alias("n"))
+
+
+def risk_files(spark, sf_dir):
+    """A risk map written as JSON with keys that are no numbers and codes that share slots, read back."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    rows = s.select((F.col("s_suppkey") * 37).cast("string").alias("code"), (F.pmod(F.col("s_suppkey"), F.lit(1000)) / 1000).cast("float").alias("risk"))
+    rows = rows.union(s.select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string")), F.lit(0.5).cast("float")))
+    path = new_path(spark, "risk-files")
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("code", "risk")))).alias("value")).write.text(path)
+    return load_mcc_risk(spark, path)
+
+
+def json_broken_bodies(spark, sf_dir):
+    """Every body broken in one way or, of thirteen, left whole: which are valid."""
+    k = F.col("qid") % (len(b.BREAKS) + 1)
+    bodies = b.broken(b.payload_bodies(b.events(spark, sf_dir)), F.when(k > 0, k - 1))
+    raw = raw_features(extract(bodies), default_mcc_risk(spark))
+    return raw.select(F.col("qid").alias("event_id"), "valid")
 
 
 def index_counts(spark, sf_dir):
@@ -135,7 +167,7 @@ def json_payload_vectors(spark, sf_dir):
 def json_payload_scores(spark, sf_dir):
     ev = b.events(spark, sf_dir)
     _, refs = _split(spark, sf_dir)
-    bodies = b.payload_bodies(ev).where(F.col("qid") % b.EVERY == 0)
+    bodies = b.broken(b.payload_bodies(ev).where(F.col("qid") % b.EVERY == 0), F.when(F.col("qid") % b.BROKEN == 0, F.col("qid") / b.BROKEN).cast("long"))
     return score_bodies(bodies, build_index(refs), default_mcc_risk(spark)).select("qid", "valid", "fraud_count", "approved", "fraud_score")
 
 
@@ -150,7 +182,7 @@ def l2_distance(spark, sf_dir):
 def part_lower_bound(spark, sf_dir):
     q, refs = _split(spark, sf_dir)
     parts = partitions.boxes(refs, "part_key").withColumnRenamed("part_key", "target")
-    return q.join(sized(parts, 256)).select("qid", "target", lower_bound().alias("lb"))
+    return q.join(F.broadcast(parts)).select("qid", "target", lower_bound().alias("lb"))
 
 
 def knn_top5(spark, sf_dir):
@@ -181,15 +213,14 @@ def fraud_decision(spark, sf_dir):
 
 def knn_embeddings(spark, sf_dir):
     rows = Written(b.embedding_vectors(spark, sf_dir), "embedding-vectors").df
-    q = rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "qid").withColumn("part_key", partition_key())
-    refs = rows.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "ref_id")
-    return knn.pruned(q, build_index(refs))
+    q = rows.where(F.col("vec_id") % b.EVERY == 0).withColumnRenamed("vec_id", "qid").withColumn("part_key", partition_key())
+    return knn.pruned(q, build_index(rows.withColumnRenamed("vec_id", "ref_id")))
 
 
 def queries() -> dict[str, Query]:
     names = [
         to_milli, iso_minutes, hour_dow, minutes_since, unknown_merchant, mcc_risk_lookup, quantize_div, amount_ratio, vectorize_events, partition_key_events, ref_quantize, ref_partition_hist, part_bbox, partition_widest_dim, median_split,
-        index_leaves, index_counts, index_roundtrip, json_extract_props, json_payload_vectors, json_payload_scores, l2_distance, part_lower_bound, knn_top5, knn_vote, knn_pruned_top5, knn_pruned_vote, fraud_decision, knn_embeddings,
+        index_leaves, index_counts, index_roundtrip, reference_files, risk_files, json_extract_props, json_payload_vectors, json_broken_bodies, json_payload_scores, l2_distance, part_lower_bound, knn_top5, knn_vote, knn_pruned_top5, knn_pruned_vote, fraud_decision, knn_embeddings,
     ]
     return {f.__name__: f for f in names}
 
@@ -224,7 +255,7 @@ _DIMS_SQL = [
 _KEY_SQL = "CAST((CASE WHEN v5 >= 0 THEN 1 ELSE 0 END) + (CASE WHEN v9 > 0 THEN 2 ELSE 0 END) + (CASE WHEN v10 > 0 THEN 4 ELSE 0 END) + (CASE WHEN v11 > 0 THEN 8 ELSE 0 END) + (CASE WHEN v12 <= 2047 THEN 0 WHEN v12 <= 4095 THEN 16 WHEN v12 <= 6143 THEN 32 ELSE 48 END) + (CASE WHEN v2 > 4096 THEN 64 ELSE 0 END) + (CASE WHEN v8 > 2048 THEN 128 ELSE 0 END) AS INTEGER)"
 _V = ", ".join(VECTOR)
 _VECTORS = f"""{_FIELDS}, v AS (SELECT event_id, label, {', '.join(f'{d} AS v{i}' for i, d in enumerate(_DIMS_SQL))} FROM m LEFT JOIN risks ON CAST(mcc AS BIGINT) % 1024 = slot),
-e AS (SELECT *, {_KEY_SQL} AS part_key FROM v), q AS (SELECT event_id AS qid, * EXCLUDE (event_id) FROM e WHERE event_id % {b.EVERY} = 0), r AS (SELECT event_id AS ref_id, * EXCLUDE (event_id) FROM e WHERE event_id % {b.EVERY} <> 0)"""
+e AS (SELECT *, {_KEY_SQL} AS part_key FROM v), q AS (SELECT event_id AS qid, * EXCLUDE (event_id) FROM e WHERE event_id % {b.EVERY} = 0), r AS (SELECT event_id AS ref_id, * EXCLUDE (event_id) FROM e)"""
 _BOX = ", ".join(f"{f}(v{i}) AS {s}{i}" for f, s in (("min", "lo"), ("max", "hi")) for i in range(DIMS))
 _L2 = " + ".join(f"CAST(q.v{i} - r.v{i} AS BIGINT) * (q.v{i} - r.v{i})" for i in range(DIMS))
 _NEAR = f"{_VECTORS}, d AS (SELECT qid, ref_id, r.label AS label, {_L2} AS d2 FROM q CROSS JOIN r), n AS (SELECT qid, CAST(rank AS INTEGER) AS rank, ref_id, label, d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, ref_id) AS rank FROM d) WHERE rank <= 5)"
@@ -260,7 +291,11 @@ def oracle_sql() -> dict[str, str]:
         "median_split": f"WITH {_VECTORS}, {parts}, w AS (SELECT part_key, n, {_WIDEST} AS dim FROM parts), x AS (SELECT ref_id, part_key, n, dim, [{_V}][dim + 1] AS x FROM r JOIN w USING (part_key)) SELECT ref_id, part_key, dim, CAST(CASE WHEN row_number() OVER (PARTITION BY part_key ORDER BY x, ref_id) <= n // 2 THEN 0 ELSE 1 END AS INTEGER) AS side FROM x",
         "index_counts": f'WITH {_VECTORS} SELECT count(*) AS "references", count(DISTINCT part_key) AS "partitions", CAST(sum(label) AS BIGINT) AS frauds FROM r',
         "json_extract_props": f"WITH {_FIELDS} SELECT event_id, true AS readable, installments, tx_count, merchant_id, mcc, is_online, strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ') AS last_at FROM f",
-        "json_payload_scores": f"WITH {_NEAR}, c AS ({_VOTE}) SELECT qid, true AS valid, fraud_count, fraud_count < 3 AS approved, fraud_count / 5.0::DOUBLE AS fraud_score FROM c",
+        "json_payload_scores": f"WITH {_NEAR}, c AS ({_VOTE}) SELECT qid, qid % {b.BROKEN} <> 0 AS valid, CAST(CASE WHEN qid % {b.BROKEN} = 0 THEN 0 ELSE fraud_count END AS INTEGER) AS fraud_count, qid % {b.BROKEN} = 0 OR fraud_count < 3 AS approved, CASE WHEN qid % {b.BROKEN} = 0 THEN 0 ELSE fraud_count / 5.0::DOUBLE END AS fraud_score FROM c",
+        "json_broken_bodies": f"SELECT event_id, event_id % {len(b.BREAKS) + 1} = 0 AS valid FROM events",
+        "index_leaves": f"WITH {_VECTORS}, {parts} SELECT *, true AS leaves_fit, true AS leaves_enough FROM parts",
+        "reference_files": f"SELECT {_V}, label, count(*) AS n FROM ({_EMB}) GROUP BY ALL",
+        "risk_files": "SELECT CAST(s_suppkey * 37 % 1024 AS INTEGER) AS slot, CAST(arg_max(round(CAST(CAST(s_suppkey % 1000 / 1000.0::DOUBLE AS FLOAT) AS DOUBLE) * 10000), s_suppkey) AS INTEGER) AS mcc_risk_q FROM supplier GROUP BY 1",
         "l2_distance": f"WITH {_VECTORS} SELECT event_id, {' + '.join(f'CAST(v{i} - 5000 AS BIGINT) * (v{i} - 5000)' for i in range(DIMS))} AS d2 FROM e",
         "part_lower_bound": f"WITH {_VECTORS}, {parts} SELECT qid, parts.part_key AS target, {_LB} AS lb FROM q CROSS JOIN parts",
         "knn_top5": top,
@@ -269,5 +304,5 @@ def oracle_sql() -> dict[str, str]:
         "knn_pruned_vote": count,
         "fraud_decision": f"""WITH {_NEAR}, c AS ({_VOTE}) SELECT qid, fraud_count, fraud_count < 3 AS approved, fraud_count / 5.0::DOUBLE AS fraud_score,
             '{{"approved":' || CASE WHEN fraud_count < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || CAST(fraud_count / 5.0::DOUBLE AS VARCHAR) || '}}' AS response FROM c""",
-        "knn_embeddings": f"WITH e AS ({_EMB}), q AS (SELECT vec_id AS qid, * EXCLUDE (vec_id) FROM e WHERE vec_id % 10 = 0), r AS (SELECT vec_id AS ref_id, * EXCLUDE (vec_id) FROM e WHERE vec_id % 10 <> 0), d AS (SELECT qid, ref_id, r.label AS label, {_L2} AS d2 FROM q CROSS JOIN r) SELECT qid, CAST(rank AS INTEGER) AS rank, ref_id, label, d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, ref_id) AS rank FROM d) WHERE rank <= 5",
+        "knn_embeddings": f"WITH e AS ({_EMB}), q AS (SELECT vec_id AS qid, * EXCLUDE (vec_id) FROM e WHERE vec_id % {b.EVERY} = 0), r AS (SELECT vec_id AS ref_id, * EXCLUDE (vec_id) FROM e), d AS (SELECT qid, ref_id, r.label AS label, {_L2} AS d2 FROM q CROSS JOIN r) SELECT qid, CAST(rank AS INTEGER) AS rank, ref_id, label, d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, ref_id) AS rank FROM d) WHERE rank <= 5",
     }

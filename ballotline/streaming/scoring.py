@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.knn import Index
+from ..operators.tables import scratch
 from ..plans.scoring import score
 
 
@@ -16,7 +17,8 @@ def score_stream(bodies: DataFrame, index: Index, mcc_risk: DataFrame, out: str,
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        score(rows, index, mcc_risk).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch():  # a batch's intermediate tables go with it
+            score(rows, index, mcc_risk).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = bodies.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,15 +1,19 @@
 """The pruned search against comparing all pairs: random, tied, sparse and skewed references."""
 
 import random
+import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ballotline.constants import VECTOR
 from ballotline.functions.vectors import partition_key
+from ballotline.operators import knn, tables
 from ballotline.operators.knn import brute, pruned
 from ballotline.operators.vote import decide, vote
-from ballotline.sources.index import build_index
+from ballotline.sources.index import build_index, read_index, write_index
+from ballotline.sources.references import default_mcc_risk
 
 COLS = ", ".join(f"{v} int" for v in VECTOR)
 
@@ -84,6 +88,35 @@ def test_plan(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
 
 
+def test_blocks_of_queries(spark, monkeypatch):
+    rnd = random.Random(4)
+    point = lambda: tuple(rnd.randrange(0, 10001) for _ in range(14))
+    refs, queries = [(point(), 0) for _ in range(300)], [point() for _ in range(30)]
+    q, r = frames(spark, queries, refs)
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(knn, "WANTED_ROWS", 20)
+    monkeypatch.setattr(knn, "SAMPLE", 50)
+    assert rows(brute(q.union(q.limit(3)), r)) == rows(pruned(q, build_index(r, 32))) == plain(queries, refs)
+
+
+def test_scan_of_a_written_index_skips(spark, tmp_path):
+    rnd = random.Random(6)
+    refs = [(tuple(rnd.randrange(0, 10001) for _ in range(14)), 0) for _ in range(3000)]
+    q, r = frames(spark, [refs[5][0], refs[9][0]], refs)
+    write_index(build_index(r, 32), default_mcc_risk(spark), str(tmp_path / "index"))
+    index, _ = read_index(spark, str(tmp_path / "index"))
+    assert rows(pruned(q, index)) == plain([refs[5][0], refs[9][0]], refs)
+    first = knn._first_leaf(q, index).join(q.drop("part_key"), "qid").withColumn("bound", F.lit(10**9))
+    plan = knn._scan(first, index)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part_key#\d+ ", plan) and re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(leaf_id", plan), plan
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_scores_ignore_other_columns(spark):
     q, r = frames(spark, [(0,) * 14], [((k,) * 14, k % 2) for k in range(50)])
     r = r.withColumn("d2", F.lit("x")).withColumn("part_key", F.lit(3)).withColumn("qid", F.lit(None).cast("string"))
