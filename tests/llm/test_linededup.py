@@ -23,6 +23,54 @@ def plain(rows):
     return out
 
 
+def plain_runs(rows):
+    """The same with repeated runs: whatever unit of lines stood before, in another place, goes."""
+    first, out = {}, {}
+    for doc, key, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        gone, parts = set(), linededup.chunks(text)
+        starts = [sum(m for _, _, m in parts[:k]) for k in range(len(parts))]
+        spans = [(starts[k], starts[k] + m - 1, "c" + chunk) for k, (chunk, may, m) in enumerate(parts) if may]
+        spans += [(lo, hi, b"w" + raw) for lo, hi, raw in linededup.windows(text)]
+        for k, (lo, hi, what) in enumerate(spans):
+            if first.setdefault(what, (doc, key, k)) != (doc, key, k):
+                gone.update(range(lo, hi + 1))
+        out[doc, text] = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return out
+
+
+def repeated_runs(rows):
+    """{(id, text): its lines in runs of two lines or more, of twelve words or more together, of which every two neighbours stood together in an earlier text}."""
+    pairs, out = set(), {}
+    for doc, _, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if x.split()]
+        run, found = [], set()
+        for j, (k, x) in enumerate(lines):
+            if j and (lines[j - 1][1], x) in pairs:
+                run = [*(run or [lines[j - 1]]), (k, x)]
+            else:
+                run = []
+            if sum(len(y.split()) for _, y in run) >= linededup.LEAST:
+                found.update(i for i, _ in run)
+        out[doc, text] = found
+        pairs.update((a[1], b[1]) for a, b in zip(lines, lines[1:]))
+    return out
+
+
+def test_runs_of_the_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = keyed(docs)
+    want = {d: t for (d, _), t in plain_runs(rows).items()}
+    out = linededup.line_dedup(docs.repartition(6), runs=True).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    # the share of lines in repeated runs that goes
+    caught = total = 0
+    kept = {r.doc_id: r.n_removed_lines for r in out}
+    for (doc, text), lines in repeated_runs(rows).items():
+        total += len(lines)
+        caught += min(len(lines), kept[doc])
+    assert total > 500 and caught >= 0.95 * total, (caught, total)
+
+
 def keyed(docs):
     from pyspark.sql import functions as F
 

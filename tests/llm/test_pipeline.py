@@ -40,7 +40,7 @@ def test_toxicity(spark, stages):
 
 def test_line_dedup(stages):
     before, after = stages[1]
-    want = {d: t for (d, _), t in test_linededup.plain(test_linededup.keyed(before)).items()}
+    want = {d: t for (d, _), t in test_linededup.plain_runs(test_linededup.keyed(before)).items()}
     assert {r.doc_id: r.text for r in after.collect()} == want
 
 
