@@ -2,7 +2,7 @@
 
 Only block elements become nodes; inline markup is read through, links are counted. Start
 tags that imply an end (p, li, td, ...) give it, stray end tags are ignored, what is open at
-the end is closed. Quoted values have any length; only a tag whose quote is never closed ends at its first >. Scripts, styles, templates, comments and the head are left out.
+the end is closed. Quoted values have any length; only a tag whose quote is never closed ends at its first >. Scripts, styles, templates, drawings, comments and the head are left out.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^><]*)>|<[!?][^>]*>",
@@ -19,7 +20,9 @@ BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article aside nav header footer main form fieldset legend figure "
     "figcaption blockquote pre address details summary menu dialog center noscript iframe video audio object select option optgroup button textarea label hgroup search".split()
 )
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "svg", "math", "title", "xmp")}
+_RAW = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "template", "svg", "title")}
+#: Of these the inner ones are counted, so that the outer one's end is found.
+_NESTS = frozenset(("template", "svg"))
 _VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dl dd dt div fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li tr td th".split()
@@ -34,6 +37,17 @@ _P_SCOPE = frozenset("button td th caption object table".split())
 _CONTROLS = frozenset("input select option textarea button label legend fieldset optgroup".split())
 
 
+def _past(s: str, name: str, pos: int) -> int:
+    """The place after the end of a raw element whose start tag ends at ``pos``; that of the page if it never ends."""
+    depth = 1
+    while m := _RAW[name].search(s, pos):
+        pos = m.end()
+        depth += -1 if m[1] else name in _NESTS and not m[0].endswith("/>")
+        if not depth:
+            return pos
+    return len(s)
+
+
 class Page:
     """Nodes in page order (parallel lists) and texts: (node, text), each of one block in page order."""
 
@@ -51,6 +65,7 @@ class Page:
     def _read(self, s: str) -> None:
         stack, parts, pos, in_link, linked, head = [0], [], 0, False, 0, False
         tag, attrs, parent = self.tag, self.attrs, self.parent
+        count = Counter(["#page"])  # open elements by tag, so that a stray end needs no walk
 
         def flush() -> None:
             nonlocal linked
@@ -65,6 +80,8 @@ class Page:
                 linked = 0
 
         def pop_to(k: int) -> None:
+            for node in stack[k:]:
+                count[tag[node]] -= 1
             del stack[k:]
 
         n = len(s)
@@ -85,9 +102,8 @@ class Page:
                 continue
             name, close, attr = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
             if name in _RAW:
-                if not close:
-                    end = _RAW[name].search(s, pos)
-                    pos = end.end() if end else n
+                if not close and not (name == "svg" and (attr or "").rstrip().endswith("/")):
+                    pos = _past(s, name, pos)
                     parts.append(" ")
                 continue
             if name == "head":
@@ -111,20 +127,18 @@ class Page:
                 self.inline[stack[-1]] += not close
                 continue
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        flush()
-                        pop_to(k)
-                        in_link = False
-                        break
-                else:
-                    if name == "p":
-                        flush()
+                if count[name]:
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name)
+                    flush()
+                    pop_to(k)
+                    in_link = False
+                elif name == "p":
+                    flush()
                 continue
             flush()
-            if name in ("html", "body") and name in (tag[k] for k in stack):
+            if name in ("html", "body") and count[name]:
                 continue
-            if name in _CLOSES_P:
+            if name in _CLOSES_P and count["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     t = tag[stack[k]]
                     if t == "p":
@@ -132,7 +146,7 @@ class Page:
                         break
                     if t in _P_SCOPE or t in ("div", "section", "article", "li", "body"):
                         break
-            if name in _ENDS:
+            if name in _ENDS and any(count[t] for t in _ENDS[name][0]):
                 ends, scope = _ENDS[name]
                 cut = None
                 for k in range(len(stack) - 1, 0, -1):
@@ -151,6 +165,7 @@ class Page:
             self.controls.append(name in _CONTROLS)
             if not (attr or "").rstrip().endswith("/") or name in ("p", "div", "a"):
                 stack.append(len(tag) - 1)
+                count[name] += 1
         flush()
 
 
@@ -178,8 +193,8 @@ _KINDS = (
 _KIND_OF = {t: k for k, g in reversed(list(enumerate(_KINDS))) for t in g}
 _CUES = (re.compile(r"©|\(c\)|copyright|all rights reserved|alle rechte|derechos|droits", re.I), re.compile(r"cookie|consent|gdpr|privacy|subscribe|newsletter|sign up|log in|accept", re.I), re.compile(r"advert|sponsor|promo", re.I), re.compile(r"comment|repl(?:y|ies)|says:|wrote:", re.I))
 
-#: Longer attributes aren't kept in ``_seen``.
-_KEPT = 4096
+#: Longer attributes aren't kept in ``_seen``, which so has some 50 MB at most.
+_KEPT = 512
 _seen: dict[str, tuple[int, ...]] = {}
 
 
@@ -196,7 +211,7 @@ def attribute_groups(attrs: str) -> tuple[int, ...]:
             if (k := _TOKEN_OF.get(token)) is not None:
                 out[k] += 1
     out[-1] = int("display:none" in attrs.replace(" ", "") or re.search(r"\bhidden\b|aria-hidden=.?true", attrs) is not None)
-    if len(_seen) > 50_000:
+    if len(_seen) > 20_000:
         _seen.clear()
     if len(attrs) <= _KEPT:
         _seen[attrs] = tuple(out)
@@ -210,7 +225,7 @@ def features(page: Page) -> list[list[float]]:
     """One row of ``N_FEATURES`` numbers for each node: its subtree's densities, names, depth, kind, siblings and place."""
     n = len(page.tag)
     own, chars, words, stops, linked = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    cues = [[0] * len(_CUES) for _ in range(n)]
+    cues = [[0.0] * len(_CUES) for _ in range(n)]
     first, last, at = [-1] * n, [0] * n, 0
     for (k, text), lc in zip(page.texts, page.link_chars):
         own[k] += len(text)
@@ -218,10 +233,9 @@ def features(page: Page) -> list[list[float]]:
         words[k] += text.count(" ") + 1
         stops[k] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
         linked[k] += lc
-        if len(text) < 400:
-            for c, cue in enumerate(_CUES):
-                if cue.search(text):
-                    cues[k][c] += 1
+        for c, cue in enumerate(_CUES):
+            # one cue in a long text says little
+            cues[k][c] += sum(1 for _ in cue.finditer(text)) / max(1, len(text) / 400)
         if first[k] < 0:
             first[k] = at
         at += len(text)

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -108,3 +109,16 @@ def test_quoted_values_of_any_length():
     page = dom.Page('<p class="x>Text</p><p>' + "word " * 2000 + "</p>")
     assert page.tag == ["#page", "p", "p"] and [t[:9] for _, t in page.texts] == ["Text", "word word"]
     assert dom.Page("<a '\"" * 100_000).tag == ["#page"] and dom.Page('<p a="' + "<p a='" * 100_000).tag[0] == "#page"
+
+
+def test_reader_keeps_content_and_time():
+    long = "a > b <i> " * 2000
+    page = dom.Page(f"<body><article data-x='{long}' onclick=\"{long}\"><p>a <math><mi>x</mi>=2</math> b <svg><svg><text>no</text></svg><text>no</text></svg> c</p><xmp>d</xmp><svg/><p>e</article></body>")
+    assert [t for _, t in page.texts] == ["a x=2 b c", "d", "e"]
+    took = []
+    for n in (5_000, 50_000):
+        began = time.process_time()
+        page = dom.Page("<div>" * n + "x" + "</section></li></p>" * n)
+        took.append(time.process_time() - began)
+        assert len(page.tag) == n + 1 and [t for _, t in page.texts] == ["x"]
+    assert took[1] < 60 * max(took[0], 0.01)
