@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Table, map_arrow
 
@@ -155,14 +156,12 @@ def _scorer(at: np.ndarray, weight: np.ndarray):
     return run
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` and ``__score``, the probability of toxicity from its text alone."""
-    from pyspark.sql import types as T
-
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
+    """Columns c0.. of ``docs`` and ``__score``, the probability of toxicity from its text alone."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     held = docs.toDF(*names).withColumn("__text", F.col(names[docs.columns.index(text)]))
     schema = T.StructType([*held.drop("__text").schema.fields, T.StructField("__score", T.DoubleType())])
-    return map_arrow(held, _scorer(*model), schema).toDF(*docs.columns, "__score")
+    return map_arrow(held, _scorer(*model), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -170,14 +169,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     held_out: crc32 of the id as text leaves 1 modulo 3 (null ids: false; they never train).
     Null and empty texts get the intercept's score. Labels that are null don't count; a
-    label over 0 is toxic. Repeated rows get equal scores; an empty table gives no rows.
+    label over 0 is toxic. Repeated rows get equal scores; an empty table gives no rows; further columns are ignored, whatever their names.
     """
     model = train(docs, labels, id_col, text, label, rows)
-    out = scored(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), model)
-    return out.select(F.col("id").alias(id_col), F.coalesce(_held_out("id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = _scored(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), model, "text")
+    return out.select(F.col("c0").alias(id_col), F.coalesce(_held_out("c0"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is under the threshold."""
     model = train(docs, labels, id_col, text, label, rows)
-    return scored(docs, model, text).where(F.col("__score") < THRESHOLD).drop("__score")
+    return _scored(docs, model, text).where(F.col("__score") < THRESHOLD).drop("__score").toDF(*docs.columns)

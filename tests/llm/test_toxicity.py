@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ballotline.llm import toxicity
 
@@ -47,6 +48,8 @@ def test_edges(spark):
     by = {r.doc_id: r for r in out}
     assert by[None].predicted == 1 and not by[None].held_out and by[902].predicted == 0 and by[900].score == by[901].score
     assert all(by[k].predicted == (k % 3 == 0) for k in range(300))
+    clash = docs.withColumn("__score", F.lit(1)).withColumn("__text", F.lit("x")).withColumn("c0", F.lit(2))
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns and len(toxicity.score(clash, labels).collect()) == clash.count()
     left = toxicity.drop_toxic(docs, labels)
     assert left.columns == docs.columns and left.count() == len(rows) - 101
     assert toxicity.score(docs.limit(0), labels).collect() == []
