@@ -71,6 +71,27 @@ def test_quotas_are_exact(spark):
         assert max(per.values()) - min(per.values()) <= 3 and max(per) < shards
 
 
+def test_draws_follow_the_hypergeometric_law(spark):
+    held = spark.createDataFrame([(f"s{k}", 50) for k in range(300)], "src string, quota long")
+    left = [r["quota"] for r in mixing.split_tree(held, 2).where("shard = 0").collect()]
+    left += [0] * (300 - len(left))
+    n, share = 300 * 50, 50 / (300 * 50)
+    assert sum(left) == n // 2
+    law = n / 2 * share * (1 - share) * (n / 2) / (n - 1)
+    assert 0.7 * law < sum((x - 25) ** 2 for x in left) / 300 < 1.4 * law
+    other = [r["quota"] for r in mixing.split_tree(held, 2, seed=8).where("shard = 0").collect()]
+    assert sorted(left) != sorted(other)
+
+
+def test_very_many_sources(spark):
+    held = spark.range(100_000).selectExpr("concat('s', id) AS src", "1 + id % 3 AS quota")
+    rows = mixing.split_tree(held, 16)
+    assert rows.groupBy("src").sum("quota").join(held, "src").where("quota <> `sum(quota)`").count() == 0
+    per = [r["n"] for r in rows.groupBy("shard").agg({"quota": "sum"}).toDF("shard", "n").collect()]
+    assert sum(per) == 199_999 and len(per) == 16 and max(per) - min(per) <= 4
+    assert mixing._dimensions(15 * 10**12, None) == (300_000, 22) and mixing._dimensions(10**6, None) == (16, 10)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string, size int, mix_shard string"
     rows = [(1, None, "a", 1, "x"), (2, "", "a", 1, "x"), (3, "w " * 500, "a", 1, "x"), (4, "w v", None, 1, "x"), (4, "w v", None, 1, "x"), (None, "u", "ä", None, None), (6, "q r s", "b", 1, "x")]
