@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import Written as Table
+from ..operators.tables import new_path, remove, scratch
+
+__all__ = ["SPACE", "WORD", "Table", "bounded", "map_arrow", "new_path", "quoted", "remove", "scratch", "spans_sql", "word_count"]
+
 #: ASCII white space, which parts words in most contracts.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a single machine) a temporary folder is made and used.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ballotline-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Matches joined to a list at a time, so that very many in one text aren't copied again for each.
 _BLOCK = 256
 
@@ -57,28 +42,6 @@ def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-class Table:
-    """A DataFrame written as Parquet in the shared folder and read again.
-
-    It cuts the lineage, outlives lost executors and is computed once.
-    """
-
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bounded(rows: DataFrame, most: int) -> Callable[[DataFrame], DataFrame]:
     """How to join with tables of a row for each of ``rows``: broadcast if there are at most ``most``, else merged.
 
@@ -94,9 +57,15 @@ def word_count(text: Column, word: str = WORD) -> Column:
 
 #: Rows in a batch between Spark and Python. Whole texts can be long, and the JVM, its Arrow buffers and Python each hold a batch.
 BATCH_ROWS = 512
+_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over batches of at most BATCH_ROWS rows (a session setting, made here)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` over batches of at most BATCH_ROWS rows.
+
+    Spark reads the limit when the result is computed, after this returns: it is set for the session, unless the session has a lower one.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_LIMIT, "0")) <= BATCH_ROWS:
+        conf.set(_LIMIT, str(BATCH_ROWS))
     return df.mapInArrow(f, schema)

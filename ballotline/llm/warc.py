@@ -2,8 +2,10 @@
 
 Writing. Records with equal payloads (SHA-1) are found by one aggregation over
 digests: the largest page id of each is the response, the others revisit it.
-Records are range-sorted by page id. The ranges come from a sample of hashed ids,
-so they, and with them the files, depend on the rows alone. Every shard is written
+Records are range-sorted by page id. Shards are ranges of about ``shard_bytes``: a histogram over the ids' leading bits,
+whose heavy cells are cut further, gives the bytes before each cell, and ids stand evenly inside a cell. It has a bounded
+number of cells whatever the number of rows and shards, and depends on the rows alone, so the files do too. The html is shuffled
+once, by range; which records revisit others is found on narrow rows, which meet their html in the writer. Every shard is written
 as gzip members, one a record; a file is closed once it holds ``roll_bytes``.
 
 Commit. A task writes to names that hold its own random token and reports them in
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Table, map_arrow, new_path
@@ -36,7 +38,10 @@ SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 #: Records carry this time, so that writing again gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-_SAMPLE = 64
+#: Payload bytes that a task writes, about, once there are more shards than twice the cores.
+TASK_BYTES = 128 << 20
+#: Bits of the histogram's first cells and of each cut of a heavy one; a cell is heavy with more than its share of one in HEAVY.
+_FIRST, _CUT, HEAVY = 12, 8, 1024
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:ballotline:warc")
 
@@ -81,10 +86,10 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(root: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (shard, page_id, sha1, url, html, dup, refers_to) in order; out a row for each file."""
+        """Rows (shard, page_id, sha1, url, html, note, refers_to) in order, before copies a note of what they refer to; out a row for each file."""
         fs, base = _open(root)
         token = uuid.uuid4().hex
-        out, shard, seq, count, size, total, last, copy, first = None, None, 0, 0, 0, hashlib.sha1(), None, 0, None
+        out, shard, seq, count, size, total, last, copy, first, noted = None, None, 0, 0, 0, hashlib.sha1(), None, 0, None, None
 
         def closed() -> pa.RecordBatch:
             out.close()
@@ -92,6 +97,11 @@ def _writer(root: str, roll: int):
 
         for b in batches:
             for r in b.to_pylist():
+                key = (r["page_id"], r["sha1"])
+                if r["note"]:
+                    noted = key, r["refers_to"]
+                    continue
+                dup, refers_to = noted is not None and noted[0] == key, noted[1] if noted else None
                 if out and (r["shard"] != shard or size >= roll):
                     yield closed()
                     seq = 0 if r["shard"] != shard else seq + 1
@@ -102,11 +112,10 @@ def _writer(root: str, roll: int):
                     temp = f"_temp/{final}.{token}"
                     out = fs.open_output_stream(f"{base}/{temp}", compression=None)
                 # of rows alike in id and payload only the first is the response
-                key = (r["page_id"], r["sha1"])
                 copy = copy + 1 if key == last else 0
-                is_response = not r["dup"] or (r["page_id"] == r["refers_to"] and key != last)
+                is_response = not dup or (r["page_id"] == refers_to and key != last)
                 last = key
-                data = member(record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), is_response, r["refers_to"], copy=copy))
+                data = member(record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), is_response, refers_to, copy=copy))
                 out.write(data)
                 total.update(data)
                 count += 1
@@ -137,24 +146,52 @@ def _rename(root: str):
     return run
 
 
-def _shards(held: DataFrame, shard_bytes: int) -> tuple[int, Column]:
-    """How many shards, and that of ``page_id``: ranges at quantiles of a sample chosen by the ids' hashes, of bounded size."""
-    n, total = held.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    shards = max(1, -(-total // shard_bytes))
+_MIN = -(1 << 63)
+
+
+def _cells(held: DataFrame) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """(all bytes, [(bits, cell, bytes before it, its bytes)]) of (page_id, bytes), cells in the order of ids; null ids, which come first, as (0, 0, 0, bytes).
+
+    A cell is a common start of so many bits. At the driver are at most 2^_FIRST cells, and for each further cut HEAVY * 2^_CUT.
+    """
+    held = held.withColumn("u", F.col("page_id").bitwiseXOR(F.lit(_MIN)))
+    lo, hi, total, none = held.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))), F.lit(0))).first()
+    out, before = [(0, 0, 0, none)], none
+    if lo is None:
+        return total, out
+    bits = min(64, 64 - ((lo ^ hi) & ((1 << 64) - 1)).bit_length() + _FIRST)
+    rows, done = held.where("page_id IS NOT NULL"), []
+    while True:
+        found = [(r.cell, r.b) for r in rows.groupBy(F.shiftrightunsigned("u", 64 - bits).alias("cell")).agg(F.sum("bytes").alias("b")).collect()]
+        heavy = [c for c, b in found if b * HEAVY > total] if bits < 64 else []
+        done += [(bits, c, b) for c, b in found if c not in set(heavy)]
+        if not heavy:
+            break
+        cut = held.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")
+        rows = rows.withColumn("cell", F.shiftrightunsigned("u", 64 - bits)).join(F.broadcast(cut), "cell", "left_semi").drop("cell")
+        bits = min(64, bits + _CUT)
+    for k, c, b in sorted(done, key=lambda x: (x[1] & ((1 << 64) - 1)) << (64 - x[0])):
+        out.append((k, c, before, b))
+        before += b
+    return total, out
+
+
+def _sharded(held: DataFrame, cells: list[tuple[int, int, int, int]], shards: int, shard_bytes: int) -> DataFrame:
+    """``held`` (page_id, sha1, ...) with its ``shard``. Rows of one id, or of none, are dealt out by their digests, so that only rows alike in both are sure to be together."""
+    held = held.withColumn("u", F.col("page_id").bitwiseXOR(F.lit(_MIN)))
     if shards == 1:
-        return 1, F.lit(0).cast("long")
-    every = max(1, n // (shards * _SAMPLE))
-    # cut points at the driver: one number for each shard, of a sample of about _SAMPLE times as many
-    picked = held.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)).groupBy("page_id").agg(F.sum("bytes").alias("b"))
-    ids = sorted((r.page_id, r.b) for r in picked.toLocalIterator())
-    each, upto, points = sum(b for _, b in ids) / shards, 0, []
-    for page, b in ids:
-        if upto >= each * (len(points) + 1):
-            points.append(page)
-        upto += b
-    cut = F.array(*[F.lit(p).cast("long") for p in points]) if points else None
-    # nulls come first, in shard 0
-    return shards, F.lit(0).cast("long") if cut is None else F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col("page_id"))), F.lit(0)).cast("long")
+        return held.withColumn("shard", F.lit(0).cast("long")).drop("u")
+    digest = F.conv(F.hex(F.substring("sha1", 1, 6)), 16, 10).cast("double") / float(1 << 48)
+    at = F.when(F.col("page_id").isNull(), digest * float(cells[0][3]))
+    names = held.columns
+    for bits in sorted({c[0] for c in cells[1:]}):
+        # bounded as said in _cells, whatever the number of rows and shards
+        table = held.sparkSession.createDataFrame([(c, float(before), float(b)) for k, c, before, b in cells if k == bits], f"c{bits} long, before{bits} double, bytes{bits} double")
+        held = held.withColumn(f"c{bits}", F.shiftrightunsigned("u", 64 - bits)).join(F.broadcast(table), f"c{bits}", "left")
+        inside = F.shiftrightunsigned(F.shiftleft("u", bits), 11).cast("double") / float(1 << 53) if bits < 64 else digest
+        at = F.coalesce(at, F.col(f"before{bits}") + inside * F.col(f"bytes{bits}"))
+    shard = F.least(F.floor(at / float(shard_bytes)), F.lit(shards - 1))
+    return held.withColumn("shard", shard.cast("long")).select(*[n for n in names if n != "u"], "shard")
 
 
 def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -167,17 +204,23 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(html)).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
-    n_shards, shard = _shards(held.select("page_id", "bytes"), shard_bytes)
-    same = Table(held.groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("sha1", "refers_to"), "payloads")
-    rows = held.drop("bytes").join(same.df.withColumn("dup", F.lit(True)), "sha1", "left")
-    rows = rows.select(shard.alias("shard"), "page_id", "sha1", "url", "html", F.coalesce("dup", F.lit(False)).alias("dup"), "refers_to")
+    narrow = Table(held.select("page_id", "sha1", "bytes"), "pages")
+    same = narrow.df.groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("sha1", "refers_to")
+    total, cells = _cells(narrow.df.select("page_id", "bytes"))
+    n_shards = max(1, -(-total // shard_bytes))
+    held, notes = (_sharded(x, cells, n_shards, shard_bytes) for x in (held, narrow.df.join(same, "sha1")))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = held.select("shard", "page_id", "sha1", "url", "html", F.lit(False).alias("note"), none("long").alias("refers_to"))
+    rows = rows.union(notes.select("shard", "page_id", "sha1", none("string"), none("string"), F.lit(True), "refers_to"))
     fs, base = _open(root)
     fs.create_dir(f"{base}/_temp", recursive=True)
-    rows = rows.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
+    tasks = min(n_shards, max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / n_shards).cast("int"))
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", F.col("note").desc(), "url")
     done = Table(map_arrow(rows, _writer(root, roll_bytes), _MANIFEST_SQL), "warc-manifest")
     map_arrow(done.df.repartition("name"), _rename(root), _MANIFEST_SQL).write.format("noop").mode("overwrite").save()
     fs.delete_dir(f"{base}/_temp")
-    same.drop()
+    narrow.drop()
     manifest = done.df.drop("temp")
     manifest.write.json(f"{root}/manifest")
     return manifest
@@ -185,7 +228,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
 
 def records(stream) -> Iterator[tuple[dict, bytes]]:
     """(headers, block) of every record of a gzip archive, read a chunk at a time."""
-    z, text = zlib.decompressobj(31), b""
+    z, text = zlib.decompressobj(31), bytearray()
     while True:
         chunk = stream.read(1 << 18)
         if not chunk:
@@ -195,8 +238,8 @@ def records(stream) -> Iterator[tuple[dict, bytes]]:
             chunk = b""
             if z.eof:
                 chunk, z = z.unused_data, zlib.decompressobj(31)
-                yield _parsed(text)
-                text = b""
+                yield _parsed(bytes(text))
+                text = bytearray()
     if text:
         raise OSError("the archive ends within a record")
 

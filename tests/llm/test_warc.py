@@ -5,8 +5,10 @@ import collections
 import gzip
 import hashlib
 import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ballotline.llm import warc
 from ballotline.llm.common import new_path
@@ -63,6 +65,27 @@ def test_edges(spark):
     checked(warc.round_trip(pages.where("page_id IS NULL")).collect(), pages.where("page_id IS NULL").collect())
 
 
+def test_very_many_shards(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    total = sum(len((p.html or "").encode()) for p in pages.collect())
+    root = new_path(spark, "w")
+    manifest = warc.write(pages, root, shard_bytes=total // 10_000).collect()
+    assert max(m.shard for m in manifest) > 9_900 and len(manifest) > 0.8 * pages.count()
+    checked(warc.read(spark, root).drop("url").collect(), pages.collect())
+
+
+def test_shards_of_ids_in_clusters(spark):
+    ids = [-(1 << 63), -7, *range(500), *range(1 << 40, (1 << 40) + 300), *range((1 << 62) + 1, (1 << 62) + 3000, 7), (1 << 63) - 1]
+    held = spark.createDataFrame([(i, 1000) for i in ids] + [(None, 1000)] * 40 + [(250, 1000)] * 200, "page_id long, bytes long").withColumn("sha1", F.unhex(F.sha1(F.monotonically_increasing_id().cast("string"))))
+    n = len(ids) + 240
+    total, cells = warc._cells(held)
+    assert total == 1000 * n and sum(b for *_, b in cells) == total and cells[0] == (0, 0, 0, 40_000)
+    assert sorted(b for *_, b in cells)[-3:] == [1000, 40_000, 201_000]  # every id of its own, as each is heavy here
+    rows = sorted((r.page_id is not None, r.page_id or 0, bytes(r.sha1), r.shard) for r in warc._sharded(held, cells, 50, -(-total // 50)).collect())
+    per = Counter(r[3] for r in rows)
+    assert [r[3] for r in rows] == sorted(r[3] for r in rows) and len(per) == 50 and max(per.values()) <= 2 * n / 50
+
+
 def test_damage_is_seen(spark):
     root = new_path(spark, "w")
     warc.write(spark.read.parquet(f"{DATA}/pages.parquet").limit(20), root)
