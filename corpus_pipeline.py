@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last with the columns of
-``documents``. Toxic documents go; repeated chunks of lines go from the texts; one document of each
+``documents``. Toxic documents go; repeated chunks and runs of lines go from the texts; one document of each
 group of near duplicates stays; documents that hold benchmark items go; the last stage draws
 the mix, a row for each copy, with its pass and shard.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ballotline.llm import decontam, linededup, mixing, simhash, toxicity
-from ballotline.llm.common import Table
+from ballotline.llm.common import new_path, remove, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.apply(docs)
+    return linededup.apply(docs, runs=True)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """The mix. Of what the stages write, only their results' last one and the last stage's tables stay, which the rows returned read."""
+    docs, last = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        with scratch():  # a stage's own tables go when its result is written
+            out = stage(spark, docs, sf_dir)
+            path = new_path(spark, f"pipeline-{name}")
+            out.write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
