@@ -5,14 +5,14 @@ lowest bit is 0, so an inserted line moves boundaries only next to itself. A lin
 ``LONG`` words or more is a chunk of its own. Chunks of at least ``LEAST`` words, in two
 lines or more (or one long line), may be removed; shorter ones are never touched.
 
-Dedup. Of equal chunks the first by (id, place) stays, null ids last. Every input
-partition first compares the bytes of its own chunks, so that a chunk held by a third of
-all rows leaves each partition once. These are shuffled by hash, sorted and read as a
+Dedup. Of equal chunks the first by (id, place) stays, null ids last. Every task
+first compares the bytes of its own chunks, so that a chunk held by a third of
+all rows leaves it once for each ``HELD`` bytes of distinct chunks. These are shuffled by hash, sorted and read as a
 stream; bytes decide, never hashes alone. What a partition removed by itself takes no
 part in that and is dealt out by document. Rows alike in id and text are one document:
 each gets the same result.
 
-Memory: the distinct chunks and windows of one input partition, one text, one chunk of a run.
+Memory: ``HELD`` bytes of distinct chunks and windows, one text, one chunk of a run.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from .common import map_arrow
 LONG = 16
 LEAST = 12
 WIDE = 256
+#: Bytes of distinct chunks, with what an entry takes besides, that a task holds before it gives them to the shuffle.
+HELD = 128 << 20
+_ENTRY = 300
 #: Places from here on are windows, below it chunks.
 _WINDOWS = 1 << 30
 _ODD = 0x9E3779B97F4A7C15
@@ -124,42 +127,50 @@ def _units(text: str | None, runs: bool) -> Iterator[tuple[int, bytes]]:
             yield _WINDOWS + k, b"w" + raw
 
 
-def _locals(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) rows in. Out: a row with bytes for every chunk of the partition, one without for what repeats it."""
+def _locals(batches: Iterator[pa.RecordBatch], runs: bool, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(id, key, text) rows in. Out: a row with bytes for every chunk, one without for what repeats one that is still held.
+
+    A chunk that comes again after it was given out is given out again, and its place compared where the shuffle brings both.
+    """
     first: dict[bytes, tuple] = {}
     gone: list[tuple] = []
+    held = 0
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["id", "key", "at", "hash", "chunk"])
 
-    seen: set[tuple] = set()
+    def given() -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for raw, place in first.items():
+            rows.append((None if place[0] else place[1], place[2], place[3], xxhash.xxh64_intdigest(raw) - (1 << 63), raw))
+            size += len(raw)
+            if len(rows) >= 4096 or size > 4 << 20:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
     for b in batches:
         for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if (doc, key) in seen:
-                continue
-            seen.add((doc, key))
             for at, raw in _units(text, runs):
                 place = (doc is None, doc or 0, key, at)
                 if (other := first.get(raw)) is None:
                     first[raw] = place
-                else:
+                    held += len(raw) + _ENTRY
+                elif place != other:  # a repeated row doesn't repeat itself
                     if place < other:
                         first[raw], place = place, other
                     gone.append((None if place[0] else place[1], place[2], place[3], None, None))
-        if len(gone) >= 4096:
-            yield batch(gone)
-            gone = []
+            if held > most:
+                yield from given()
+                first.clear()
+                held = 0
+            if len(gone) >= 4096:
+                yield batch(gone)
+                gone = []
     if gone:
         yield batch(gone)
-    rows, size = [], 0
-    for raw, place in first.items():
-        rows.append((None if place[0] else place[1], place[2], place[3], xxhash.xxh64_intdigest(raw) - (1 << 63), raw))
-        size += len(raw)
-        if len(rows) >= 4096 or size > 4 << 20:
-            yield batch(rows)
-            rows, size = [], 0
-    if rows:
-        yield batch(rows)
+    yield from given()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,3 +141,20 @@ def test_repeated_runs_of_short_lines_go_whole(spark):
     # a run within one text keeps its first twelve words
     docs = spark.createDataFrame([(1, "a b c\n" * 9 + "end"), (2, "x\n" + "a b c\n" * 5 + "y"), (3, "Licensed under X.\n\nend"), (4, "Licensed under X.\n\nend")], "doc_id long, text string")
     assert [r.text for r in linededup.line_dedup(docs, runs=True).orderBy("doc_id").collect()] == ["a b c\n" * 4 + "end", "x\ny", *["Licensed under X.\n\nend"] * 2]
+
+
+def test_chunks_given_out_early_change_nothing(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [*keyed(docs), *keyed(docs)[:40]]
+    batches = [pa.RecordBatch.from_pylist([{"id": d, "key": k, "text": t} for d, k, t in rows[j : j + 100]], pa.schema([("id", pa.int64()), ("key", pa.int64()), ("text", pa.string())])) for j in range(0, len(rows), 100)]
+
+    def gone(most):
+        own = [r for b in linededup._locals(iter(batches), True, most) for r in b.to_pylist()]
+        met = sorted(own, key=lambda r: (r["hash"] is not None, r["hash"] or 0, r["id"], r["key"], r["at"]))
+        b = pa.RecordBatch.from_pylist(met, pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chunk", pa.binary())]))
+        return len(own), {tuple(r.values()) for out in linededup._repeats(iter([b])) for r in out.to_pylist()}
+
+    (n, whole), (m, early) = gone(linededup.HELD), gone(20_000)
+    assert whole == early and len(whole) > 500 and m > n
