@@ -33,7 +33,7 @@ LONG = 16
 LEAST = 12
 WIDE = 256
 #: Bytes of distinct chunks, with what an entry takes besides, that a task holds before it gives them to the shuffle.
-HELD = 128 << 20
+HELD = 64 << 20
 _ENTRY = 300
 #: Places from here on are windows, below it chunks.
 _WINDOWS = 1 << 30
