@@ -84,3 +84,16 @@ def test_long_secrets_are_whole(spark):
     rows = [(1, "-----BEGIN PRIVATE KEY----- " * 20_000), (2, "- " * 200_000 + "-----BEGIN PRIVATE KEY-----" + " -" * 200_000), (3, "ab" * 500_000), (4, "-" * 1_000_000)]
     out = {r.doc_id: r.n_candidates for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), path=None).collect()}
     assert out == {1: 20_000, 2: 1, 3: 1, 4: 0}
+
+
+def test_forest_in_sql_votes_like_the_fitted_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    seen, other = secrets.labelled_findings(spark, 1200), secrets.labelled_findings(spark, 400, 50_000)
+    assembled = lambda f: VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(secrets.with_features(f))
+    model = RandomForestClassifier(numTrees=9, maxDepth=6, seed=3, featureSubsetStrategy="onethird").fit(assembled(seen).select("label", "features"))
+    sql = secrets.train(seen, trees=9, depth=6, seed=3)
+    rows = secrets.forest_score(assembled(other), sql).select("features", "score").collect()
+    votes = [sum(t.predict(r.features) for t in model.trees) / 9 for r in rows]
+    assert [round(r.score * 9) for r in rows] == [round(v * 9) for v in votes] and 0 < sum(votes) < len(votes)

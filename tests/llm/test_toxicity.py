@@ -65,3 +65,40 @@ def test_places_of_one_text_are_learned():
     batch = pa.RecordBatch.from_arrays([pa.array(range(21), pa.int64()), pa.array([1] + [0] * 20, pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["turn", "label", "places"])
     out = pa.Table.from_batches(toxicity._train(iter([batch]))).to_pydict()
     assert dict(zip(out["place"], out["weight"])).get(7, 0) > 0
+
+
+def test_training_against_a_plain_loop():
+    """FTRL-proximal written out for one number at a time."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    sets = [sorted(rnd.sample(range(60), rnd.randrange(0, 12))) for _ in range(400)]
+    labels = [int(sum(p < 8 for p in s) > 1) for s in sets]
+    rows = {"turn": pa.array(range(400), pa.int64()), "label": pa.array(labels, pa.int32()), "places": pa.array(sets, pa.list_(pa.int32()))}
+    parts = [pa.RecordBatch.from_arrays([a[k : k + 150] for a in rows.values()], names=list(rows)) for k in range(0, 400, 150)]
+    out = pa.Table.from_batches(toxicity._train(iter(parts))).to_pydict()
+    bias, z, n = 1 << toxicity.BITS, {}, {}
+    seen = {p: sum(p in s for s in sets) for p in range(60)}
+    value = {p: min(max(math.log(401 / max(c, 1)) / math.log(201), 0), 1) for p, c in seen.items()} | {bias: 1.0}
+
+    def weight(p):
+        l1 = 0 if p == bias else toxicity.L1
+        if abs(z.get(p, 0)) <= l1:
+            return 0.0
+        return -math.copysign(abs(z[p]) - l1, z[p]) / ((toxicity.BETA + math.sqrt(n[p])) / toxicity.ALPHA + (0 if p == bias else toxicity.L2))
+
+    for _ in range(toxicity.EPOCHS):
+        for s, label in zip(sets, labels):
+            w = {p: weight(p) for p in [*s, bias]}
+            guess = 1 / (1 + math.exp(-sum(w[p] * value[p] for p in w)))
+            for p in w:
+                g = (guess - label) * value[p] * (toxicity.TOXIC_WEIGHT if label else 1)
+                rate = (math.sqrt(n.get(p, 0) + g * g) - math.sqrt(n.get(p, 0))) / toxicity.ALPHA
+                z[p], n[p] = z.get(p, 0) + g - rate * w[p], n.get(p, 0) + g * g
+    want = {p: weight(p) * value[p] for p in z if weight(p)}
+    got = dict(zip(out["place"], out["weight"]))
+    assert set(got) == set(want) and len(want) < 61 and all(math.isclose(got[p], w, rel_tol=1e-6, abs_tol=1e-9) for p, w in want.items())
+    assert min(want[p] for p in range(8) if p in want) > 0 > want[bias]
