@@ -187,7 +187,7 @@ def part_lower_bound(spark, sf_dir):
 
 def knn_top5(spark, sf_dir):
     q, refs = _split(spark, sf_dir)
-    return knn.brute(q, refs)
+    return knn.nearest(q, refs)
 
 
 def knn_vote(spark, sf_dir):

@@ -12,6 +12,7 @@ from ballotline.functions.vectors import partition_key
 from ballotline.operators import knn, tables
 from ballotline.operators.knn import brute, pruned
 from ballotline.operators.vote import decide, vote
+from ballotline.plans import queries as plans
 from ballotline.sources.index import build_index, read_index, write_index
 from ballotline.sources.references import default_mcc_risk
 
@@ -122,3 +123,29 @@ def test_scores_ignore_other_columns(spark):
     r = r.withColumn("d2", F.lit("x")).withColumn("part_key", F.lit(3)).withColumn("qid", F.lit(None).cast("string"))
     q = q.withColumn("label", F.lit(7)).withColumn("d2", F.lit(1))
     assert rows(pruned(q, build_index(r))) == plain([(0,) * 14], [((k,) * 14, k % 2) for k in range(50)])
+
+
+def _no_pairs(*_):
+    raise AssertionError("compares all pairs")
+
+
+def test_many_pairs_are_pruned(spark, monkeypatch):
+    rnd = random.Random(12)
+    point = lambda: tuple(rnd.randrange(0, 10001) // 2500 * 2500 for _ in range(14))
+    refs, queries = [(point(), rnd.randrange(2)) for _ in range(600)], [point() for _ in range(20)]
+    q, r = frames(spark, queries, refs)
+    holes = q.limit(1).withColumn("qid", F.lit(99).cast("long")).withColumn("v3", F.lit(None).cast("int"))
+    q, r = q.union(q.limit(3)).union(holes), r.union(r.limit(2).withColumn("v7", F.lit(None).cast("int")))
+    want = plain(queries, refs)
+    assert rows(knn.nearest(q, r)) == want
+    monkeypatch.setattr(knn, "PAIRS", 1000)
+    monkeypatch.setattr(knn, "brute", _no_pairs)
+    assert rows(knn.nearest(q, r)) == want
+
+
+def test_knn_top5_at_size(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = rows(brute(*plans._split(spark, sf)))
+    monkeypatch.setattr(knn, "PAIRS", 1000)
+    monkeypatch.setattr(knn, "brute", _no_pairs)
+    assert rows(plans.knn_top5(spark, sf)) == want
