@@ -192,7 +192,7 @@ def knn_top5(spark, sf_dir):
 
 def knn_vote(spark, sf_dir):
     q, refs = _split(spark, sf_dir)
-    return decide(q.select("qid"), vote(knn.brute(q, refs))).select("qid", "fraud_count")
+    return decide(q.select("qid"), vote(knn.nearest(q, refs))).select("qid", "fraud_count")
 
 
 def knn_pruned_top5(spark, sf_dir):

@@ -149,3 +149,12 @@ def test_knn_top5_at_size(spark, monkeypatch):
     monkeypatch.setattr(knn, "PAIRS", 1000)
     monkeypatch.setattr(knn, "brute", _no_pairs)
     assert rows(plans.knn_top5(spark, sf)) == want
+
+
+def test_knn_vote_at_size(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    q, r = plans._split(spark, sf)
+    want = {(x.qid, x.fraud_count) for x in decide(q.select("qid"), vote(brute(q, r))).collect()}
+    monkeypatch.setattr(knn, "PAIRS", 1000)
+    monkeypatch.setattr(knn, "brute", _no_pairs)
+    assert {tuple(x) for x in plans.knn_vote(spark, sf).collect()} == want
