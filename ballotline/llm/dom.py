@@ -191,7 +191,22 @@ _KINDS = (
     {"form", "search", "fieldset"}, _CONTROLS, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"figure", "figcaption", "blockquote", "pre"}, {"html", "body", "#page"}, {"dialog", "noscript", "iframe", "object", "video", "audio"},
 )
 _KIND_OF = {t: k for k, g in reversed(list(enumerate(_KINDS))) for t in g}
-_CUES = (re.compile(r"©|\(c\)|copyright|all rights reserved|alle rechte|derechos|droits", re.I), re.compile(r"cookie|consent|gdpr|privacy|subscribe|newsletter|sign up|log in|accept", re.I), re.compile(r"advert|sponsor|promo", re.I), re.compile(r"comment|repl(?:y|ies)|says:|wrote:", re.I))
+#: Signs of what isn't the article, in lower case.
+CUES = (
+    ("©", "(c)", "copyright", "all rights reserved", "alle rechte", "derechos", "droits"), ("cookie", "consent", "gdpr", "privacy", "subscribe", "newsletter", "sign up", "log in", "accept"),
+    ("advert", "sponsor", "promo"), ("comment", "reply", "replies", "says:", "wrote:"),
+)
+_CUES = tuple(re.compile("|".join(map(re.escape, c)), re.I) for c in CUES)
+#: Letters that a pattern takes for i, s and k in any case, though their lower case is another.
+_ODD = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
+def cue_counts(text: str) -> list[int]:
+    """How often each of ``CUES`` occurs, in any case. Most texts have none, which a look for plain words tells sooner than a pattern."""
+    low = text.lower()
+    odd = not text.isascii() and _ODD.search(text)
+    return [sum(1 for _ in cue.finditer(text)) if odd or any([w in low for w in words]) else 0 for cue, words in zip(_CUES, CUES)]
+
 
 #: Longer attributes aren't kept in ``_seen``, which so has some 50 MB at most.
 _KEPT = 512
@@ -233,9 +248,10 @@ def features(page: Page) -> list[list[float]]:
         words[k] += text.count(" ") + 1
         stops[k] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
         linked[k] += lc
-        for c, cue in enumerate(_CUES):
-            # one cue in a long text says little
-            cues[k][c] += sum(1 for _ in cue.finditer(text)) / max(1, len(text) / 400)
+        for c, found in enumerate(cue_counts(text)):
+            if found:
+                # one cue in a long text says little
+                cues[k][c] += found / max(1, len(text) / 400)
         if first[k] < 0:
             first[k] = at
         at += len(text)

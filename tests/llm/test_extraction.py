@@ -122,3 +122,24 @@ def test_reader_keeps_content_and_time():
         took.append(time.process_time() - began)
         assert len(page.tag) == n + 1 and [t for _, t in page.texts] == ["x"]
     assert took[1] < 60 * max(took[0], 0.01)
+
+
+def test_cues_are_counted_as_by_patterns_and_sooner():
+    patterns = (
+        r"©|\(c\)|copyright|all rights reserved|alle rechte|derechos|droits", r"cookie|consent|gdpr|privacy|subscribe|newsletter|sign up|log in|accept", r"advert|sponsor|promo", r"comment|repl(?:y|ies)|says:|wrote:",
+    )
+    plainly = lambda t: [len(re.findall(p, t, re.I)) for p in patterns]
+    rnd = random.Random(3)
+    words = [w for c in dom.CUES for w in c] + ["re", "pl", "ies", "é", "word", " "]
+    odd = {"i": "iI\u0130\u0131", "s": "sS\u017f", "k": "kK\u212a"}
+    for _ in range(3000):
+        text = "".join(rnd.choice(words) for _ in range(rnd.randrange(4)))
+        text = "".join(rnd.choice(odd.get(c, c + c.upper())) if rnd.random() < 0.2 else c for c in text)
+        assert dom.cue_counts(text) == plainly(text), text
+    texts, took = ["an ordinary line of some article without any of them " * 4] * 2000, []
+    for count in (dom.cue_counts, lambda t, c=[re.compile(p, re.I) for p in patterns]: [sum(1 for _ in p.finditer(t)) for p in c]):
+        began = time.process_time()
+        for t in texts:
+            count(t)
+        took.append(time.process_time() - began)
+    assert took[0] < took[1] / 2
